@@ -6,17 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import packing, sharding, warc
+from almanac.llm import bpe, packing, sharding, warc
 from almanac.llm.common import table
 
 SHARD_BYTES = 1 << 20
 PACK_BUCKETS, PACK_TOKENS = 16, 1 << 16
+BPE_FILE = "word_bpe_49k.json"
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("copy")
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), PACK_BUCKETS, PACK_TOKENS)
 
@@ -49,7 +56,7 @@ FROM leaf WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op7_packing, op8_warc)}
+    return {f.__name__: f for f in (op2_sharding, op6_bpe, op7_packing, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
