@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import bpe, packing, sharding, warc
+from almanac.llm import bpe, minhash, packing, sharding, warc
 from almanac.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -32,6 +32,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 OP2_SQL = f"""
 WITH alike AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, count(*) AS n FROM documents GROUP BY 1, 2
@@ -56,7 +60,7 @@ FROM leaf WHERE rn = 1
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op6_bpe, op7_packing, op8_warc)}
+    return {f.__name__: f for f in (op2_sharding, op6_bpe, op7_packing, op8_warc, op9_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
