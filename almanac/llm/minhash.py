@@ -6,10 +6,9 @@ index being RUN minima read together, so that a list holds nodes that agree on a
 them. Lists are joined through their hub, the smallest node: nobody lists
 the pairs of a list. Coordinates in which a node and a hub collide are counted
 over the whole signature, pairs with at least MATCHES are confirmed on full sets, and the
-confirmed ones merged. In lists that still hold several components, members outside the hub's
-component are then held against the others, again by collisions and full sets; pairs
-that are connected already are skipped. So no link between posted nodes is left
-out, however long a list is.
+confirmed ones merged. In lists whose other members are still in several components these are
+then compared in blocks, and what is close is confirmed on full sets too; pairs that are connected
+already are skipped. So no link between posted nodes is left out, however long a list is.
 
 Two texts with similarity 0.8 share no list once in 2e7 pairs, and have fewer than
 MATCHES collisions once in 3e6.
@@ -28,6 +27,8 @@ from almanac.llm.components import components
 RUN, POSTED = 4, 32
 COORDINATES = RUN * POSTED
 MATCHES = 80
+#: Members of a list that one block holds, and the error allowed for 32-bit hashes when blocks are compared.
+BLOCK_ROWS, GRAIN_SLACK = 256, 0.005
 #: Words whose hashes a worker remembers.
 CACHE_ENTRIES = 500_000
 
@@ -160,6 +161,87 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
+def _packed(texts: DataFrame, words: int) -> DataFrame:
+    """``node, grains``: the sorted distinct 32-bit halves of the shingle hashes."""
+
+    def run(batches):
+        for batch in batches:
+            grains = [np.unique(shingles(t, words).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grains, pa.binary())], names=["node", "grains"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, grains binary")
+
+
+def _close_pairs(nodes: list[int], labels: list[int], parts: list[int], grains: list[bytes], across: bool, least: float) -> list[tuple[int, int]]:
+    """Pairs of a block with other labels and a similarity of ``least`` on 32-bit hashes, less GRAIN_SLACK; of pairs surely above it only those that connect something new.
+
+    ``across``: only pairs of two parts.
+    """
+    sets = [np.frombuffer(g, np.uint32) for g in grains]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    n = len(sets)
+    values, column = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    shared = np.bincount(column)[column] > 1  # what only one member has is in no intersection
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = column[-1] + 1 if len(column) else 0
+    for at in range(0, int(width), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        dense = np.zeros((n, min(4096, int(width) - at)), np.float32)
+        dense[owner[a:b], column[a:b] - at] = 1
+        both += dense @ dense.T
+    similar = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
+    x, y = np.nonzero(np.triu(similar >= least - GRAIN_SLACK, 1))
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    found = []
+    for i, j in sorted(zip(x.tolist(), y.tolist()), key=lambda p: -similar[p]):
+        if across and parts[i] == parts[j]:
+            continue
+        u, v = find(labels[i]), find(labels[j])
+        if u != v:
+            found.append((nodes[i], nodes[j]))
+            if similar[i, j] >= least + GRAIN_SLACK:
+                root[max(u, v)] = min(u, v)
+    return found
+
+
+def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Close pairs ``a, b`` of the members ``post, node, label, parts`` of lists, block against block: no pair becomes a row unless it is close."""
+    own = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("post", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part", "grains")
+    ordered = blocks.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
+
+    def run(batches):
+        key, rows = None, []
+
+        def flush():
+            if len(rows) > 1 and len({r[4] for r in rows}) > 1:
+                found = _close_pairs([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], key[1] != key[2], least)
+                return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:3] != key:
+                    if (out := flush()) is not None:
+                        yield out
+                    key, rows = row[:3], []
+                rows.append(row)
+        if (out := flush()) is not None:
+            yield out
+
+    pairs = ordered.mapInArrow(run, "a long, b long")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, n_shingles, component_id, kept``.
 
@@ -205,15 +287,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         links = links.unionByName(more)
         labels = components(links)
 
-    # Lists that still hold several components: members outside the hub's component against all others.
-    placed = held.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    hubs = labels.select(F.col("node").alias("hub"), F.col("label").alias("hub_label"))
-    placed = placed.join(hubs, "hub", "left").withColumn("stray", F.coalesce("hub_label", "hub") != F.col("label"))
-    strays = placed.filter("stray").select("post", F.col("node").alias("x"), F.col("label").alias("lx"))
-    others = placed.filter(F.col("node") != F.col("hub")).select("post", F.col("node").alias("y"), F.col("label").alias("ly"), "stray")
-    left = strays.join(others, (strays.post == others.post) & (F.col("lx") != F.col("ly")) & (~F.col("stray") | (F.col("x") < F.col("y")))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    near = materialize(_colliding(left, marks).join(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "close")
-    if near.limit(1).count():
+    # Lists whose members, hub aside, are still in several components: these members against each other.
+    placed = held.filter(F.col("node") != F.col("hub")).select("post", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parted = placed.groupBy("post").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).filter("l0 <> l1").select("post", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
+    members = materialize(placed.join(parted, "post"), "parted")
+    if members.limit(1).count():
+        sets = materialize(_packed(texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b"))), words), "sets")
+        near = materialize(_compared(members, sets, part / whole), "near")
         more = materialize(_confirmed(near, texts_of(near), words, similarity), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
