@@ -1,0 +1,161 @@
+"""Modified Kneser-Ney model of the letters of words, in sorted arrays of gram hashes.
+
+A word is a sequence of codes between boundaries. Characters are hashed to CODES codes, so a
+gram of ORDER codes is a number below CODES ** ORDER: that bounds a language's arrays
+whatever the corpus, and with it what is broadcast.
+"""
+
+from __future__ import annotations
+
+import unicodedata
+from dataclasses import dataclass
+
+import numpy as np
+
+ORDER, BITS = 4, 6
+CODES = 1 << BITS
+START, END = 0, 1
+
+
+def _code(point: int) -> int:
+    """The code of a character: small Latin letters have one each, other characters share those of their class."""
+    c = chr(point)
+    if "a" <= c <= "z":
+        return 2 + point - 97
+    if "A" <= c <= "Z":
+        return 28 + point % 8
+    kind = unicodedata.category(c)
+    if c in ".,":
+        return 50 + (c == ",")
+    if c in "#*$%&|<>":
+        return 52 + point % 2
+    if c in "!?":
+        return 54
+    if kind in ("Lu", "Lt"):
+        return 36 + point % 2
+    if kind[0] == "L" or kind[0] == "M":
+        return 38 + point % 12
+    if kind[0] == "N":
+        return 55 + (c != "0")
+    if kind[0] == "P":
+        return 57 + point % 3
+    if kind[0] == "S":
+        return 60 + point % 2
+    return 62
+
+
+_table: np.ndarray | None = None
+
+
+def codes(word: str) -> np.ndarray:
+    """Codes of the characters of a text; those beyond the basic plane share one."""
+    global _table
+    if _table is None:
+        _table = np.array([_code(p) for p in range(0x10000)], np.uint8)
+    points = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.where(points < 0x10000, _table[np.minimum(points, 0xFFFF)], 63)
+
+
+def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Grams of ORDER codes of all words in a row, ORDER - 1 starts before each and one end after, and the index of each gram's word."""
+    joined = codes("".join(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), sizes + ORDER)
+    line = np.zeros(len(joined) + ORDER * len(words), np.int64)
+    begin = np.cumsum(sizes + ORDER) - (sizes + ORDER)
+    inside = np.ones(len(line), bool)
+    for j in range(ORDER - 1):
+        inside[begin + j] = False
+    ends = begin + sizes + ORDER - 1
+    line[ends] = END
+    letters = inside.copy()
+    letters[ends] = False
+    line[letters] = joined
+    gram = line.copy()
+    for j in range(1, ORDER):
+        gram[j:] |= line[:-j] << (BITS * j)
+    return gram[inside], owner[inside]
+
+
+@dataclass
+class Model:
+    """For each order from 1: sorted grams with log probabilities, sorted contexts with log back-off weights."""
+
+    grams: list[np.ndarray]
+    scores: list[np.ndarray]
+    contexts: list[np.ndarray]
+    weights: list[np.ndarray]
+
+    def log_probability(self, gram: np.ndarray) -> np.ndarray:
+        """Of the last code of each gram of ORDER codes, given those before it."""
+        out = np.zeros(len(gram))
+        open_ = np.arange(len(gram))
+        for k in range(ORDER, 0, -1):
+            now = gram[open_] & ((1 << (BITS * k)) - 1)
+            at = np.minimum(np.searchsorted(self.grams[k - 1], now), len(self.grams[k - 1]) - 1)
+            hit = self.grams[k - 1][at] == now
+            out[open_[hit]] += self.scores[k - 1][at[hit]]
+            open_, now = open_[~hit], now[~hit]
+            if not len(open_):
+                return out
+            if k == 1:
+                out[open_] += self.weights[0][0] - np.log(CODES)
+                return out
+            context = now >> BITS
+            at = np.minimum(np.searchsorted(self.contexts[k - 1], context), len(self.contexts[k - 1]) - 1)
+            known = self.contexts[k - 1][at] == context
+            out[open_[known]] += self.weights[k - 1][at[known]]
+        return out
+
+
+def _discounts(counts: np.ndarray) -> np.ndarray:
+    """Discounts for counts of 0, 1, 2 and 3 or more; fixed ones where the counts of counts don't give them."""
+    n = [float((counts == i).sum()) for i in range(1, 5)]
+    if min(n[:3]) <= 0:
+        return np.array([0.0, 0.5, 0.75, 0.9])
+    y = n[0] / (n[0] + 2 * n[1])
+    d = [1 - 2 * y * n[1] / n[0], 2 - 3 * y * n[2] / n[1], 3 - 4 * y * n[3] / n[2] if n[3] else 1.0]
+    return np.array([0.0, *(min(max(v, 0.05), i - 0.05) for i, v in enumerate(d, 1))])
+
+
+def train(grams: np.ndarray, counts: np.ndarray) -> Model:
+    """Interpolated modified Kneser-Ney from the counts of all grams of ORDER codes.
+
+    Lower orders count the distinct codes that stand before a gram; grams that begin a
+    word keep their plain counts, as nothing but starts stands before them.
+    """
+    order = np.argsort(grams, kind="stable")
+    grams, counts = grams[order], counts[order].astype(np.float64)
+    levels = [(grams, counts)]
+    plain_g, plain_c = grams, counts
+    for k in range(ORDER - 1, 0, -1):
+        longer = levels[-1][0]
+        mask = (1 << (BITS * k)) - 1
+        cont_g, cont_c = np.unique(longer & mask, return_counts=True)
+        plain_g, back = np.unique(plain_g & mask, return_inverse=True)
+        plain_c = np.bincount(back, plain_c)
+        first = cont_g >> (BITS * (k - 1))
+        begins = (first == START) & (k > 1)
+        c = cont_c.astype(np.float64)
+        c[begins] = plain_c[np.searchsorted(plain_g, cont_g[begins])]
+        levels.append((cont_g, c))
+    levels.reverse()
+    model = Model([], [], [], [])
+    lower_g = lower_p = None
+    for k, (g, c) in enumerate(levels, 1):
+        d = _discounts(c)
+        each = d[np.minimum(c, 3).astype(int)]
+        contexts, back = np.unique(g >> BITS, return_inverse=True)
+        total, taken = np.bincount(back, c), np.bincount(back, each)
+        weight = taken / total
+        if k == 1:
+            below = np.full(len(g), 1.0 / CODES)
+        else:
+            below = lower_p[np.searchsorted(lower_g, g & ((1 << (BITS * (k - 1))) - 1))]
+        p = (c - each) / total[back] + weight[back] * below
+        model.grams.append(g)
+        model.scores.append(np.log(p).astype(np.float32))
+        model.contexts.append(contexts)
+        model.weights.append(np.log(weight).astype(np.float32))
+        lower_g, lower_p = g, p
+    return model

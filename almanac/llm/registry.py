@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from almanac.llm import bpe, html_text, minhash, packing, sharding, topk, warc
+from almanac.llm import bpe, html_text, minhash, packing, quality_model, quality_rules, sharding, topk, toxicity, warc
 from almanac.llm.common import table
 
 SHARD_BYTES = 1 << 20
@@ -14,10 +14,18 @@ PACK_BUCKETS, PACK_TOKENS = 16, 1 << 16
 BPE_FILE = "word_bpe_49k.json"
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=(5, 0))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES).drop("copy")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=(4, 2))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -44,6 +52,11 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity"]
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents")).select(*names)
+
+
 OP2_SQL = f"""
 WITH alike AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, count(*) AS n FROM documents GROUP BY 1, 2
@@ -117,7 +130,7 @@ SELECT doc_id, n::BIGINT AS n_shingles, component_id, doc_id = component_id AS k
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sharding, op4_html, op5_topk, op6_bpe, op7_packing, op8_warc, op9_minhash)}
+    return {f.__name__: f for f in (op1_quality, op2_sharding, op3_toxicity, op4_html, op5_topk, op6_bpe, op7_packing, op8_warc, op9_minhash, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,20 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from almanac.llm import packing
+from almanac.llm import minhash, packing, quality_model, toxicity
 from almanac.llm.common import materialize, table
 from almanac.llm.registry import PACK_BUCKETS, PACK_TOKENS
 
 
-def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier does not reject."""
+    return toxicity.keep_clean(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    feats = materialize(quality_model.features(docs), "statistics")
+    return quality_model.keep_good(docs, quality_model.fit(feats, table(spark, sf_dir, "labels")))
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each class of near duplicates on five-word shingles. Rows without id stay."""
+    found = minhash.near_duplicates(docs, words=5, similarity=(80, 100))
+    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document in length buckets and batches."""
     return packing.pack(docs, PACK_BUCKETS, PACK_TOKENS)
 
 
-STAGES = [("packing", pack_stage)]
+STAGES = [("toxicity", toxicity_stage), ("quality classifier", quality_stage), ("near duplicates", near_duplicate_stage), ("packing", packing_stage)]
 
-#: No stage but the last could be said in SQL.
+#: SQL cannot fit the classifiers; the stages are tested against held-out labels and brute force.
 ORACLE_SQL = None
 
 
