@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from almanac.llm.common import slices
+
 #: Entries of the word and transition caches of one worker.
 CACHE_ENTRIES = 600_000
 _WHITE = "\t-\r \x85\xa0  -     　"
@@ -207,7 +209,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         tokenizer = load(path)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 ids, labels = tokenizer.encode_joined(text) if text else ("", "")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
@@ -51,5 +50,8 @@ def split_words(text: str | None) -> list[bytes]:
     return utf8(text).split()
 
 
-def arrow(schema: list[tuple[str, pa.DataType]], columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[n], type=t) for n, t in schema], names=[n for n, _ in schema])
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut into pieces, so that what Python makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm.common import materialize, split_words, utf8
+from almanac.llm.common import materialize, slices, split_words, utf8
 from almanac.llm.components import components
 
 RUN, POSTED = 4, 32
@@ -93,7 +93,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes, posts, marks = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
@@ -117,7 +117,7 @@ def _colliding(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     both = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ma", "mb"))
                 keep = (x == y).sum(axis=1) >= MATCHES
@@ -141,7 +141,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple
                 last[node] = shingles(text, words)
             return last[node]
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
                 x, y = full(a, ta), full(b, tb)
@@ -165,7 +165,7 @@ def _packed(texts: DataFrame, words: int) -> DataFrame:
     """``node, grains``: the sorted distinct 32-bit halves of the shingle hashes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             grains = [np.unique(shingles(t, words).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grains, pa.binary())], names=["node", "grains"])
 
@@ -228,7 +228,7 @@ def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 found = _close_pairs([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], key[1] != key[2], least)
                 return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
+        for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != key:
                     if (out := flush()) is not None:
@@ -272,7 +272,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         own = wanted.join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep").select("node", "text")
 
         def run(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 same = [node == node_of(shingles(text, words)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
                 yield batch.filter(pa.array(same, pa.bool_()))
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm.common import materialize, utf8
+from almanac.llm.common import materialize, slices, utf8
 
 #: Random features, and the ridge for each training row.
 COSINES, RIDGE = 256, 1e-3
@@ -80,7 +80,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``doc_id, x`` for each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([statistics(t) for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
@@ -147,7 +147,7 @@ def fit(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
     def parts(batches):
         width = COSINES + d + 1
         sums = np.zeros((FOLDS, width, width + 1))
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 z = model.cosines(np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d))
                 y, fold = np.asarray(batch.column(1)), np.asarray(batch.column(2))
@@ -172,7 +172,7 @@ def fit(feats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col:
         model.solutions[f] = np.linalg.solve(e[:, :width] + (RIDGE * count + 1e-2) * np.eye(width), e[:, width])
 
     def binned(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x, fold = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d), np.asarray(batch.column(2))
                 z = model.cosines(x)
@@ -189,7 +189,7 @@ def score_features(feats: DataFrame, model: QualityModel, held_out: tuple[int, i
     shared = feats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             s = shared.value.score(np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, len(NAMES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], names=["doc_id", "score"])
 
@@ -213,7 +213,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 x = np.array([statistics(t) for t in batch.column(at).to_pylist()], np.float64)
                 yield batch.filter(pa.array(shared.value.score(x) >= THRESHOLD))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from almanac.llm import ngrams
-from almanac.llm.common import materialize, utf8
+from almanac.llm.common import materialize, slices, utf8
 
 #: Words whose counts or scores one worker holds at once.
 WORDS_HELD = 400_000
@@ -94,7 +94,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             g, back = np.unique(np.concatenate([old_g, gram]), return_inverse=True)
             sums[lang] = (g, np.bincount(back, np.concatenate([old_n, n])).astype(np.int64))
 
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     held[lang].update(utf8(text).split())
@@ -128,7 +128,7 @@ def scored(rows: DataFrame, models: dict[str, ngrams.Model]) -> DataFrame:
 
     def run(batches):
         known: dict[str, dict] = defaultdict(dict)
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             split = [utf8(t).split() for t in texts]
             missing: dict[str, set] = defaultdict(set)
