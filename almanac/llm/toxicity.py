@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -22,15 +23,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from almanac.llm.common import slices
+
 #: Length and decay of subsequences, letter codes, letters in a window of a long word.
-LENGTH, DECAY, LETTERS, WINDOW = 3, 0.5, 64, 24
+LENGTH, DECAY, LETTERS, WINDOW = 3, 0.65, 64, 24
 BEGIN, STOP = 62, 63
-LANDMARKS = 96
+LANDMARKS = 64
 #: Documents of each label that a fit takes at most, and the length above which it prefers others.
-MOST_LABELLED, LONG_TEXT = 3000, 20_000
+MOST_LABELLED, LONG_TEXT = 1500, 20_000
 #: Distinct words whose scores a worker holds.
 WORDS_HELD = 500_000
-ROUNDS = 3
+ROUNDS = 4
 THRESHOLD = 0.3
 
 _SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
@@ -189,29 +192,38 @@ def _varied(word: str, seed: int) -> list[str]:
 
 def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on whole texts with labels."""
-    bags = [sorted({p.lower() for w in words_of(t or "") for p in _windows(w) if p}) for t in texts]
+    bags = [sorted({sys.intern(p.lower()) for w in words_of(t or "") for p in _windows(w) if p}) for t in texts]
     y = np.array(toxic)
-    n_bad, n_good = int((y == 1).sum()), int((y == 0).sum())
-    if not n_bad or not n_good:
+    if not (y == 1).any() or not (y == 0).any():
         return NEVER
+    # Every fourth document of either label is kept for calibration, where there are enough.
+    place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
+    aside = (place % 4 == 0) if min((y == 1).sum(), (y == 0).sum()) >= 40 else np.zeros(len(y), bool)
+    every, marks_all = bags, y
+    bags, toxic = [b for b, a in zip(bags, aside) if not a], [t for t, a in zip(toxic, aside) if not a]
+    n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
     # First guess: pieces of words that rejected documents have and clean ones lack.
     pieces = lambda w: {f"^{w}$"[i : i + 4] for i in range(max(1, len(w) - 1))}
-    of_word = {w: pieces(w) for bag in bags for w in bag}
     bad, good, seen = Counter(), Counter(), Counter()
     for bag, label in zip(bags, toxic):
-        (bad if label else good).update({g for w in bag for g in of_word[w]})
+        (bad if label else good).update({g for w in bag for g in pieces(w)})
         if not label:
             seen.update(bag)
-    odds = {g: math.log((bad[g] + 0.5) / (n_bad + 1)) - math.log((good[g] + 0.5) / (n_good + 1)) for g in bad}
+    # Half a document of the smaller label is added to both shares: one document alone is no evidence.
+    half = 0.5 / min(n_bad, n_good)
+    odds = {g: math.log(bad[g] / n_bad + half) - math.log(good[g] / n_good + half) for g in bad}
     # The piece with the best evidence speaks for the word; words that clean documents have are no insults.
-    guess = {w: max(odds.get(g, -9.0) for g in of_word[w]) - (1.5 * math.log1p(seen[w])) for w in {w for bag, label in zip(bags, toxic) if label for w in bag}}
+    guess = {w: max(odds.get(g, -9.0) for g in pieces(w)) - (1.5 * math.log1p(seen[w])) for w in {w for bag, label in zip(bags, toxic) if label for w in bag}}
+    # A document whose best word has much less evidence than others' may be mislabelled: it names no witness.
     witnesses = Counter()
-    for bag, label in zip(bags, toxic):
-        if label and bag:
-            top = max(guess[w] for w in bag)
-            witnesses.update(w for w in bag if guess[w] >= top - 0.3 and guess[w] > 1.0)
+    tops = [max((guess[w] for w in bag), default=-9.0) if label else -9.0 for bag, label in zip(bags, toxic)]
+    enough = max(1.5, 0.5 * max(tops))
+    for bag, top in zip(bags, tops):
+        if top > enough:
+            witnesses.update(w for w in bag if guess[w] >= max(top - 0.3, enough))
     clean = [w for w, _ in seen.most_common(4000)]
-    rare = sorted(w for w in seen if w not in set(clean))
+    common = set(clean)
+    rare = sorted(w for w in seen if w not in common)
     clean += [rare[i] for i in np.random.default_rng(3).permutation(len(rare))[:4000]]
     model = NEVER
     hard: list[str] = []
@@ -223,8 +235,8 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
         varied = [v for i, w in enumerate(ranked[:300]) for v in _varied(w, i)]
         positive = ranked + varied
         negative = clean + hard
-        half = LANDMARKS // 2
-        marks = ranked[:half] + [negative[i] for i in np.random.default_rng(5).permutation(len(negative))[: LANDMARKS - min(half, len(ranked))]]
+        bad_marks = ranked[: LANDMARKS // 2]
+        marks = bad_marks + [negative[i] for i in np.random.default_rng(5).permutation(len(negative))[: LANDMARKS - len(bad_marks)]]
         columns = landmark_columns(marks)
         gram = project(marks, columns).astype(np.float64)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -243,9 +255,11 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
             for bag, label in zip(bags, toxic):
                 if label and bag:
                     best = max(margin[w] for w in bag)
-                    witnesses.update(w for w in bag if margin[w] >= max(best - 0.2, 0.0) and guess.get(w, 0) > 0.5)
-            hard = sorted((w for w in seen if margin[w] > -0.5), key=lambda w: -margin[w])[:2000]
-    top = np.array([max((margin[w] for w in bag), default=-2.0) for bag in bags])
+                    witnesses.update(w for w in bag if margin[w] >= max(best - 0.2, 0.0) and guess.get(w, 0) > 1.0)
+            hard = sorted({*hard, *sorted((w for w in seen if margin[w] > -0.5), key=lambda w: (-margin[w], w))[:2000]})
+    chosen = aside if aside.any() else np.ones(len(marks_all), bool)
+    top = np.array([float(model.margins(bag).max()) if bag else -2.0 for bag, a in zip(every, chosen) if a])
+    y = marks_all[chosen]
     # Platt's calibration of the worst word's margin, on both labels.
     a, b = 4.0, 0.0
     for _ in range(200):
@@ -305,7 +319,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 
     def run(batches):
         scorer = _Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -329,7 +343,7 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") ->
 
     def run(batches):
         scorer = _Scorer(shared.value)
-        for batch in batches:
+        for batch in slices(batches):
             if batch.num_rows:
                 yield batch.filter(pa.array(scorer(batch.column(at).to_pylist()) < THRESHOLD))
 
