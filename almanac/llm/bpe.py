@@ -48,16 +48,22 @@ class Automaton:
         self.halves: dict[int, tuple[int, int]] = {}
         self.born: dict[int, int] = {}
         self.cut: dict[tuple[int, int], int] = {}
+        made, unreached = set(), set()
         for rank, (a, b) in enumerate(merges):
             left, right, new = vocab[a], vocab[b], vocab[a + b]
-            if new in self.halves:
+            if new in made:
                 raise ValueError(f"token {new} is made by two merges")
+            made.add(new)
+            # Where no a-arc leads to a b-arc the gadget adds nothing: earlier merges always come between.
+            if left in unreached or right in unreached or not self._arc(left, right, rank):
+                unreached.add(new)
+                continue
             self.halves[new], self.born[new], self.cut[left, right] = (left, right), rank, rank
         # Spelling of each token: a character for each byte, another for the byte at a word's end.
         self.token: dict[str, int] = {}
         for label, i in vocab.items():
             body, final = (label[: -len(end)], True) if end and label.endswith(end) and len(label) > len(end) else (label, False)
-            if body and all(c in byte_of for c in body):
+            if body and i not in unreached and all(c in byte_of for c in body):
                 spelled = [byte_of[c] for c in body]
                 spelled[-1] += _FINAL * final
                 self.token["".join(map(chr, spelled))] = i
