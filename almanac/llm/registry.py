@@ -62,7 +62,7 @@ WITH alike AS (
   SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, count(*) AS n FROM documents GROUP BY 1, 2
 ), sized AS (
   SELECT doc_id, n_bytes,
-         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '#' || CASE WHEN c > 0 THEN ':' || n_bytes || ':' || c ELSE '' END), 1, 13))::BIGINT AS h
+         ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '#' || n_bytes || ':' || c), 1, 13))::BIGINT AS h
   FROM (SELECT doc_id, n_bytes, unnest(generate_series(0, n - 1)) AS c FROM alike)
 ), levels AS (
   SELECT doc_id, n_bytes, d::INT AS depth, h >> (52 - d)::INT AS prefix FROM sized CROSS JOIN generate_series(0, 52) AS g(d)
