@@ -106,6 +106,8 @@ class _Events(HTMLParser):
             self.in_link = 0
 
     def handle_data(self, data: str) -> None:
+        if self.now.dropped and self.now.tag not in BLOCKS:  # a script or a button inside a line
+            return
         self.parts.append(data)
         if self.in_link:
             self.linked += len(data.strip())
