@@ -171,13 +171,15 @@ def equal_pairs(rows: DataFrame, block: Sequence[str], org: str, guard: str, nam
 def any_place_pairs(rows: DataFrame, guard: str = "contain") -> DataFrame:
     """Pass 2: same date, titles different, both over 6 letters without spaces; one holds the other and is at most twice as long, or every word of the short is part of a word of the long."""
     long_ = rows.filter(F.length("tc") > 6).withColumn("words", F.filter(F.split("t", r"(?U)\s+"), lambda w: w != ""))
-    whole = _candidates(long_, ["day"], _one_gram(F.col("tc")), _grams(F.col("tc"))).filter(F.contains("b_tc", F.col("a_tc")) & (F.length("a_tc") >= F.length("b_tc") * 0.5))
+    # The shorter of two titles, spaces counted, is the short one; of two alike in length the later.
+    a_is_short = (F.length("a_t") < F.length("b_t")) | (F.length("a_t") == F.length("b_t")) & (F.col("a_id") > F.col("b_id"))
+    whole = _candidates(long_, ["day"], _one_gram(F.col("tc")), _grams(F.col("tc"))).filter(F.contains("b_tc", F.col("a_tc")) & (~a_is_short | (F.length("a_tc") >= F.length("b_tc") * 0.5)))
     longest_word = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     probe = F.substring(longest_word, F.lit(1), F.least(F.length(longest_word), F.lit(3)))
     pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: _grams(w, 3))))
     small = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(_grams(w, 1), _grams(w, 2)))))
     words_inside = F.forall("a_words", lambda w: F.exists("b_words", lambda x: F.contains(x, w)))
-    by_word = _candidates(long_, ["day"], probe, F.concat(pieces, F.when(F.lit(True), small))).filter((F.length("a_t") <= F.length("b_t")) & words_inside)
+    by_word = _candidates(long_, ["day"], probe, F.array_distinct(F.concat(pieces, small))).filter(a_is_short & words_inside)
     ok = compatible(F.col("a_org"), F.col("b_org"), guard) if guard == "contain" else compatible(F.col("a_org_plain"), F.col("b_org_plain"), "contain")
     return _ordered(whole.unionByName(by_word).filter((F.col("a_t") != F.col("b_t")) & ok), "date")
 
@@ -259,6 +261,7 @@ def greedy_merge(df: DataFrame, guard: str = "equal") -> DataFrame:
     Differs from components only where a survivor no longer matches what the
     loser matched. A block (date and district) is one group here, so it is for blocks known to be small.
     """
+    columns = df.columns
     rows = df.withColumn("__t", text.normalize_title(F.col("title"))).withColumn("__o", text.normalize_organizer(F.col("organizer"))).withColumn("__day", text.empty(F.col("date_start"))).withColumn("__place", text.normalize_location_dedup(F.col("location")))
 
     def alike(a, b) -> bool:
@@ -284,7 +287,7 @@ def greedy_merge(df: DataFrame, guard: str = "equal") -> DataFrame:
                     rows.pop(i if keep is b else j)
                     again = True
                     break
-        return pd.DataFrame(rows, columns=group.columns)[df.columns]
+        return pd.DataFrame(rows, columns=group.columns)[columns]
 
     return rows.groupBy("__day", "__place").applyInPandas(block, df.schema)
 

@@ -1,7 +1,7 @@
 """Repair rules as column transforms, applied in order; ``applied_rules`` names those that changed a row.
 
-A rule is registered with ``rule``; it takes the row's columns and gives the ones it would
-change. Where it reads a null that it cannot work with, it does not apply.
+A rule is registered with ``rule``; it takes an accessor for the row's fields and gives a test and the
+fields it would change. Where it reads a null that it cannot work with, it does not apply.
 """
 
 from __future__ import annotations
@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from almanac.functions import text
 from almanac.operators.tagging import first_match
 
-RULES: dict[str, Callable[[], tuple[Column, dict[str, Column]]]] = {}
+Row = Callable[[str], Column]
+Rule = Callable[[Row], tuple[Column, dict[str, Column]]]
+RULES: dict[str, Rule] = {}
+
+#: The fields that rules read or change.
+FIELDS = {**dict.fromkeys(["title", "location", "organizer", "description", "time_raw", "event_url"], "string"), "tags": "array<string>"}
 
 # The rules' word lists.
 CHURCH_FALSE = ["messen", "schach", "chess", "turnier"]
@@ -37,122 +42,135 @@ PLACE_DISTRICTS = ["Büchig", "Weingarten", "Bruchsal", "Neuthard", "Karlsdorf",
 # End of the fixed values.
 
 
-def rule(f: Callable[[], tuple[Column, dict[str, Column]]]):
+def rule(f: Rule):
     RULES[f.__name__] = f
     return f
 
 
-def _tags() -> Column:
-    return F.coalesce(F.col("tags"), F.array().cast("array<string>"))
+def _tags(row: Row) -> Column:
+    return F.coalesce(row("tags"), F.array().cast("array<string>"))
 
 
-def _has(tag: str) -> Column:
-    return F.array_contains(_tags(), tag)
+def _has(row: Row, tag: str) -> Column:
+    return F.array_contains(_tags(row), tag)
 
 
-def _add(*tags: str | Column) -> Column:
-    return F.concat(_tags(), F.array(*[t if isinstance(t, Column) else F.lit(t) for t in tags]))
+def _add(row: Row, *tags: str | Column) -> Column:
+    return F.concat(_tags(row), F.array(*[t if isinstance(t, Column) else F.lit(t) for t in tags]))
 
 
-def _said() -> Column:
+def _said(row: Row) -> Column:
     """Title and description in lower case."""
-    return F.lower(F.concat(text.empty(F.col("title")), F.lit(" "), text.empty(F.col("description"))))
+    return F.lower(F.concat(text.empty(row("title")), F.lit(" "), text.empty(row("description"))))
 
 
-def _blank(name: str) -> Column:
+def _blank(row: Row, name: str) -> Column:
     """Whether a field is empty; null, so that the rule fails, where it is null."""
-    return text.strip(F.col(name)) == ""
+    return text.strip(row(name)) == ""
 
 
 @rule
-def fix_empty_location():
-    place = F.when(F.contains(F.lower(text.empty(F.col("organizer"))), F.lit("cvjm")), "CVJM-Marienhof").when(F.contains(F.lower(text.empty(F.col("title"))), F.lit("cvjm")), "CVJM-Zentrum")
-    return _blank("location") & place.isNotNull(), {"location": place}
+def fix_empty_location(row):
+    place = F.when(F.contains(F.lower(text.empty(row("organizer"))), F.lit("cvjm")), "CVJM-Marienhof").when(F.contains(F.lower(text.empty(row("title"))), F.lit("cvjm")), "CVJM-Zentrum")
+    return _blank(row, "location") & place.isNotNull(), {"location": place}
 
 
 @rule
-def fix_time_in_description():
+def fix_time_in_description(row):
     tries = [r"(?iu)(\d{1,2}[:.]\d{2})\s*Uhr", r"(?iu)Beginn[:\s]*(\d{1,2}[:.]\d{2})", r"(?iu)von\s*(\d{1,2}[:.]\d{2})", r"(\d{1,2}[:.]\d{2})\s*-\s*\d{1,2}[:.]\d{2}"]
-    found = F.coalesce(*[F.when(F.col("description").rlike(p), F.regexp_extract("description", p, 1)) for p in tries])
-    return _blank("time_raw") & found.isNotNull(), {"time_raw": F.replace(found, F.lit("."), F.lit(":"))}
+    found = F.coalesce(*[F.when(row("description").rlike(p), F.regexp_extract(row("description"), p, 1)) for p in tries])
+    return _blank(row, "time_raw") & found.isNotNull(), {"time_raw": F.replace(found, F.lit("."), F.lit(":"))}
 
 
 @rule
-def fix_empty_description():
-    return F.lit(False), {"description": F.col("description")}
+def fix_empty_description(row):
+    return F.lit(False), {"description": row("description")}
 
 
 @rule
-def fix_tag_church_false_positive():
-    return _has("Kirche") & text.contains_any(_said(), CHURCH_FALSE) & ~text.contains_any(_said(), CHURCH_TERMS), {"tags": F.array_remove(_tags(), "Kirche")}
+def fix_tag_church_false_positive(row):
+    return _has(row, "Kirche") & text.contains_any(_said(row), CHURCH_FALSE) & ~text.contains_any(_said(row), CHURCH_TERMS), {"tags": F.array_remove(_tags(row), "Kirche")}
 
 
 @rule
-def fix_tag_sport_false_positive():
-    return _has("Sport") & text.contains_any(_said(), SPORT_FALSE) & ~text.contains_any(_said(), SPORT_TERMS), {"tags": F.array_remove(_tags(), "Sport")}
+def fix_tag_sport_false_positive(row):
+    return _has(row, "Sport") & text.contains_any(_said(row), SPORT_FALSE) & ~text.contains_any(_said(row), SPORT_TERMS), {"tags": F.array_remove(_tags(row), "Sport")}
 
 
 @rule
-def fix_generic_title():
-    return F.lower(text.strip(text.empty(F.col("title")))).isin(WARNED_TITLES) & ~_has("⚠️"), {"tags": _add("⚠️")}
+def fix_generic_title(row):
+    return F.lower(text.strip(text.empty(row("title")))).isin(WARNED_TITLES) & ~_has(row, "⚠️"), {"tags": _add(row, "⚠️")}
 
 
 @rule
-def fix_location_from_treffpunkt():
+def fix_location_from_treffpunkt(row):
     long_ = r"(?iu)Treffpunkt[:\s]*(?:\d{1,2}[:.]\d{2}\s*Uhr\s*[,.]?\s*)?(.+?)(?:Rückkehr|Gebühr|\.\s|$)"
     plain = r"(?iu)Treffpunkt[:\s]+(.+?)[.\n]"
-    one = F.regexp_replace(text.strip(F.regexp_extract("description", long_, 1)), r"\.+$", "")
-    two = text.strip(F.regexp_extract("description", plain, 1))
+    one = F.regexp_replace(text.strip(F.regexp_extract(row("description"), long_, 1)), r"\.+$", "")
+    two = text.strip(F.regexp_extract(row("description"), plain, 1))
     place = F.when(F.length(one) > 3, one).when(F.length(two) > 3, two)
-    return _blank("location") & place.isNotNull(), {"location": place}
+    return _blank(row, "location") & place.isNotNull(), {"location": place}
 
 
 @rule
-def fix_sport_tag_garden_false_positive():
-    return _has("Sport") & text.contains_any(_said(), GARDEN_TERMS) & ~text.contains_any(_said(), GARDEN_SPORT), {"tags": F.array_remove(_tags(), "Sport")}
+def fix_sport_tag_garden_false_positive(row):
+    return _has(row, "Sport") & text.contains_any(_said(row), GARDEN_TERMS) & ~text.contains_any(_said(row), GARDEN_SPORT), {"tags": F.array_remove(_tags(row), "Sport")}
 
 
 @rule
-def fix_organizer_prefix_and_alias():
-    clean = text.clean_organizer(text.strip(text.empty(F.col("organizer"))))
-    return (text.strip(text.empty(F.col("organizer"))) != "") & (clean != text.strip(F.col("organizer"))), {"organizer": clean}
+def fix_organizer_prefix_and_alias(row):
+    clean = text.clean_organizer(text.strip(text.empty(row("organizer"))))
+    return (text.strip(text.empty(row("organizer"))) != "") & (clean != text.strip(row("organizer"))), {"organizer": clean}
 
 
 @rule
-def fix_tag_cheerleading_sport():
-    return text.contains_any(_said(), CHEER_TERMS) & ~_has("Sport"), {"tags": _add("Sport")}
+def fix_tag_cheerleading_sport(row):
+    return text.contains_any(_said(row), CHEER_TERMS) & ~_has(row, "Sport"), {"tags": _add(row, "Sport")}
 
 
 @rule
-def fix_district_from_url():
-    found = first_match(F.lower(text.empty(F.col("event_url"))), URL_DISTRICTS)
-    return ~F.exists(_tags(), lambda t: t.isin(KNOWN_DISTRICTS)) & found.isNotNull(), {"tags": _add(found)}
+def fix_district_from_url(row):
+    found = first_match(F.lower(text.empty(row("event_url"))), URL_DISTRICTS)
+    return ~F.exists(_tags(row), lambda t: t.isin(KNOWN_DISTRICTS)) & found.isNotNull(), {"tags": _add(row, found)}
 
 
 @rule
-def fix_tag_more_specific():
+def fix_tag_more_specific(row):
     wanted = [("Sport", CHEER_CHILDREN), ("Kinder", CHEER_CHILDREN), ("Musik", MUSIC_TERMS), ("Fest", FEAST_TERMS)]
-    more = F.filter(F.array(*[F.when(text.contains_any(_said(), words) & ~_has(tag), F.lit(tag)) for tag, words in wanted]), lambda t: t.isNotNull())
-    return F.size(more) > 0, {"tags": F.concat(_tags(), more)}
+    more = F.filter(F.array(*[F.when(text.contains_any(_said(row), words) & ~_has(row, tag), F.lit(tag)) for tag, words in wanted]), lambda t: t.isNotNull())
+    return F.size(more) > 0, {"tags": F.concat(_tags(row), more)}
 
 
 @rule
-def fix_location_district_suffix():
-    place = text.strip(text.empty(F.col("location")))
-    return place.isin(PLACE_DISTRICTS) & ~F.array_contains(_tags(), place), {"tags": _add(place)}
+def fix_location_district_suffix(row):
+    place = text.strip(text.empty(row("location")))
+    return place.isin(PLACE_DISTRICTS) & ~F.array_contains(_tags(row), place), {"tags": _add(row, place)}
 
 
 def apply_rules(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Every rule in order, each on what the ones before it left. Adds ``applied_rules``.
 
-    A rule's test is worked out once, in a column of its own, and used for all it changes.
+    The row passes from rule to rule as a lambda's argument, so each rule's expressions
+    are there once, however often it and its followers read a field.
     """
-    out = df.withColumn("applied_rules", F.array().cast("array<string>"))
+    fields = [c for c in df.columns if c in FIELDS]
+
+    def step(state: Column, name: str) -> Column:
+        def run(s: Column) -> Column:
+            test, changes = RULES[name](lambda f: s[f] if f in fields else F.lit(None).cast(FIELDS[f]))
+            # The test is bound once as well.
+            return F.transform(F.array(F.coalesce(test, F.lit(False))), lambda hit: F.struct(
+                *[(F.when(hit, changes[f]).otherwise(s[f]) if f in changes else s[f]).alias(f) for f in fields],
+                F.when(hit, F.array_append(s["applied_rules"], F.lit(name))).otherwise(s["applied_rules"]).alias("applied_rules"),
+            ))[0]
+
+        return F.transform(F.array(state), run)[0]
+
+    state = F.struct(*fields, F.array().cast("array<string>").alias("applied_rules"))
     for name in names or RULES:
-        test, changes = RULES[name]()
-        out = out.withColumn("__hit", F.coalesce(test, F.lit(False)))
-        out = out.withColumns({c: F.when(F.col("__hit"), v).otherwise(F.col(c)) for c, v in changes.items()} | {"applied_rules": F.when(F.col("__hit"), F.array_append("applied_rules", F.lit(name))).otherwise(F.col("applied_rules"))})
-    return out.drop("__hit")
+        state = step(state, name)
+    out = df.withColumn("__state", state)
+    return out.select(*[F.col(f"__state.{c}").alias(c) if c in fields else F.col(c) for c in df.columns], "__state.applied_rules")
 
 
 def split_changed(df: DataFrame) -> tuple[DataFrame, DataFrame]:

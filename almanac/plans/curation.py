@@ -29,7 +29,9 @@ def curate_v2(raw: DataFrame, today: str, previous: DataFrame | None = None, rul
     """The in-memory pipeline: rows of silent sources come back, then filter, exact dedup, fuzzy passes 1-6, flags, merged tags, majority recurrence."""
     rules = rules or D.TagRules()
     if previous is not None:
-        raw = raw.unionByName(landing.silent_sources(previous, raw), allowMissingColumns=True)
+        # Rows that come back stand after all new ones, under numbers of their own.
+        back = landing.silent_sources(previous, raw).withColumn("ord", F.col("ord") + F.lit(1 << 40))
+        raw = raw.unionByName(back, allowMissingColumns=True)
     rows = landing.document_filter(raw)
     curated = materialize(dedup.exact_dedup(rows), "exact")
     if "tags" not in curated.columns:

@@ -238,8 +238,8 @@ def d07_same_place_pairs(spark, d):
 
 
 @query(f"""WITH {PART_SQL}, w AS (SELECT *, string_split(t, ' ') AS ws FROM rows WHERE length(tc) > 6),
-p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.day = b.day AND a.id <> b.id AND a.t <> b.t AND length(a.t) <= length(b.t)
- AND ((contains(b.tc, a.tc) AND length(a.tc) >= length(b.tc) * 0.5) OR len(list_filter(a.ws, lambda x: len(list_filter(b.ws, lambda y: contains(y, x))) = 0)) = 0))
+p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.day = b.day AND a.id <> b.id AND a.t <> b.t AND (length(a.t) < length(b.t) OR length(a.t) = length(b.t) AND a.id > b.id)
+ AND (((contains(b.tc, a.tc) OR contains(a.tc, b.tc)) AND length(a.tc) >= length(b.tc) * 0.5) OR len(list_filter(a.ws, lambda x: len(list_filter(b.ws, lambda y: contains(y, x))) = 0)) = 0))
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p""")
 def d08_any_place_pairs(spark, d):
     return dedup.any_place_pairs(dedup.keyed(part_rows(spark, d))).select("a", "b")
