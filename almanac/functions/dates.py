@@ -9,8 +9,9 @@ from pyspark.sql import Column, functions as F
 from almanac import dictionaries as D
 
 
-def _found(c: Column) -> Column:
-    return F.when(c == "", F.lit(None)).otherwise(c)
+# The forms of a time of day, and whether they give minutes.
+TIME_FORMS = [(r"(\d{1,2})(?:[:.](\d{2}))?\s+bis\s+\d{1,2}[:.]\d{2}", True), (r"(\d{1,2})[:.](\d{2})(?!\d)\s*(?:Uhr)?", True), (r"(?<!\d)(\d{1,2})\s*Uhr(?!\d)", False)]
+# End of the fixed values.
 
 
 def _iso(year: Column, month: Column, day: Column) -> Column:
@@ -98,12 +99,7 @@ def start_time(c: Column) -> Column:
         m = F.when(m == "", F.lit("00")).otherwise(m)
         return F.when((h != "") & (h.try_cast("int") <= 23) & (m.try_cast("int") <= 59), F.concat(F.lpad(h, 2, "0"), F.lit(":"), m))
 
-    return F.coalesce(
-        shown(r"(\d{1,2})(?:[:.](\d{2}))?\s+bis\s+\d{1,2}[:.]\d{2}", True),
-        shown(r"(\d{1,2})[:.](\d{2})(?!\d)\s*(?:Uhr)?", True),
-        shown(r"(?<!\d)(\d{1,2})\s*Uhr(?!\d)", False),
-        F.lit(""),
-    )
+    return F.coalesce(*[shown(p, minutes) for p, minutes in TIME_FORMS], F.lit(""))
 
 
 def twelve_hours(c: Column) -> Column:

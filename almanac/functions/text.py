@@ -12,6 +12,15 @@ from pyspark.sql import Column, functions as F, types as T
 from almanac import dictionaries as D
 
 
+# What style sheets leave behind in scraped text.
+STYLE_REMNANTS = [
+    r"""\*?\](?:\s*:\s*[-\w]+)*[-\w="'\[\]()+,.#% \t]*?(?:scroll-mt-|dir=|tabindex|data-)[-\w="'\[\]()+,.#% \t]*""",
+    r"\+min\([^)]+\)\)\)\s*>",
+    r"calc\([^)]*\)",
+]
+# End of the fixed values.
+
+
 def _lit_regex(texts: Sequence[str]) -> str:
     return "|".join(r"\Q" + t + r"\E" for t in texts)
 
@@ -175,9 +184,8 @@ def clean_description(c: Column) -> Column:
     d = F.replace(F.replace(F.replace(d, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit("")), F.lit(" "), F.lit(" "))
     d = F.regexp_replace(F.regexp_replace(F.regexp_replace(d, "[ \t]+", " "), r"\n\s*\n", "\n"), r"\n+", "\n")
     d = strip(d)
-    # What a style sheet leaves behind: a bracket, then declarations up to an attribute of the page.
-    d = F.regexp_replace(d, r"""\*?\](?:\s*:\s*[-\w]+)*[-\w="'\[\]()+,.#% \t]*?(?:scroll-mt-|dir=|tabindex|data-)[-\w="'\[\]()+,.#% \t]*""", "")
-    d = F.regexp_replace(F.regexp_replace(d, r"\+min\([^)]+\)\)\)\s*>", ""), r"calc\([^)]*\)", "")
+    for p in STYLE_REMNANTS:
+        d = F.regexp_replace(d, p, "")
     d = strip(F.regexp_replace(strip(d), r"^\|+", ""))
     return strip(F.regexp_replace(d, r"(?U)\s{2,}", " "))
 

@@ -39,6 +39,8 @@ URL_DISTRICTS = {
 }
 KNOWN_DISTRICTS = ["Blankenloch", "Bruchsal", "Büchenau", "Büchig", "Eggenstein", "Friedrichstal", "Graben-Neudorf", "Hagsfeld", "Leopoldshafen", "Linkenheim", "Neureut", "Neuthard", "Rintheim", "Spöck", "Staffort", "Waldstadt", "Weingarten"]
 PLACE_DISTRICTS = ["Büchig", "Weingarten", "Bruchsal", "Neuthard", "Karlsdorf", "Spöck", "Blankenloch", "Friedrichstal", "Staffort", "Linkenheim", "Graben-Neudorf", "Waldstadt", "Neureut", "Rintheim", "Hagsfeld"]
+TIME_PATTERNS = [r"(?iu)(\d{1,2}[:.]\d{2})\s*Uhr", r"(?iu)Beginn[:\s]*(\d{1,2}[:.]\d{2})", r"(?iu)von\s*(\d{1,2}[:.]\d{2})", r"(\d{1,2}[:.]\d{2})\s*-\s*\d{1,2}[:.]\d{2}"]
+MEETING_POINTS = [r"(?iu)Treffpunkt[:\s]*(?:\d{1,2}[:.]\d{2}\s*Uhr\s*[,.]?\s*)?(.+?)(?:Rückkehr|Gebühr|\.\s|$)", r"(?iu)Treffpunkt[:\s]+(.+?)[.\n]"]
 # End of the fixed values.
 
 
@@ -77,8 +79,7 @@ def fix_empty_location(row):
 
 @rule
 def fix_time_in_description(row):
-    tries = [r"(?iu)(\d{1,2}[:.]\d{2})\s*Uhr", r"(?iu)Beginn[:\s]*(\d{1,2}[:.]\d{2})", r"(?iu)von\s*(\d{1,2}[:.]\d{2})", r"(\d{1,2}[:.]\d{2})\s*-\s*\d{1,2}[:.]\d{2}"]
-    found = F.coalesce(*[F.when(row("description").rlike(p), F.regexp_extract(row("description"), p, 1)) for p in tries])
+    found = F.coalesce(*[F.when(row("description").rlike(p), F.regexp_extract(row("description"), p, 1)) for p in TIME_PATTERNS])
     return _blank(row, "time_raw") & found.isNotNull(), {"time_raw": F.replace(found, F.lit("."), F.lit(":"))}
 
 
@@ -104,10 +105,8 @@ def fix_generic_title(row):
 
 @rule
 def fix_location_from_treffpunkt(row):
-    long_ = r"(?iu)Treffpunkt[:\s]*(?:\d{1,2}[:.]\d{2}\s*Uhr\s*[,.]?\s*)?(.+?)(?:Rückkehr|Gebühr|\.\s|$)"
-    plain = r"(?iu)Treffpunkt[:\s]+(.+?)[.\n]"
-    one = F.regexp_replace(text.strip(F.regexp_extract(row("description"), long_, 1)), r"\.+$", "")
-    two = text.strip(F.regexp_extract(row("description"), plain, 1))
+    one = F.regexp_replace(text.strip(F.regexp_extract(row("description"), MEETING_POINTS[0], 1)), r"\.+$", "")
+    two = text.strip(F.regexp_extract(row("description"), MEETING_POINTS[1], 1))
     place = F.when(F.length(one) > 3, one).when(F.length(two) > 3, two)
     return _blank(row, "location") & place.isNotNull(), {"location": place}
 

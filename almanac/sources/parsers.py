@@ -151,7 +151,7 @@ SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
 
 def source(name: str):
-    """Register a source: a function from a session and a landed table to event records."""
+    """Register a source: a function from a landed table and the day of the run to event records."""
 
     def keep(f):
         SOURCES[name] = f
@@ -160,15 +160,6 @@ def source(name: str):
     return keep
 
 
-def run_sources(landed: dict[str, DataFrame], wanted: Sequence[str] | None = None) -> DataFrame:
-    """All registered sources that have a landed table, with ``ord``: registry place, then place in the source."""
-    frames = []
-    for k, (name, f) in enumerate(SOURCES.items()):
-        if name in landed and (wanted is None or name in wanted):
-            frames.append(f(landed[name]).withColumn("source_url", F.lit(name)).withColumn("source_no", F.lit(k)))
-    return union_all(frames)
-
-
 def relative_url(base: str, link: Column) -> Column:
     """A link made absolute against its site."""
     root = re.match(r"https?://[^/]+", base)[0]
