@@ -299,7 +299,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
             labels = components(links.unionByName(more))
 
     named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = named.groupBy("label").agg(F.min("rep").alias("component_id"))
+    # Written first: the join's sides are then dealt by it alone, and Spark can split a large component.
+    smallest = materialize(named.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
     answer = materialize(named.join(smallest, "label").select("node", "component_id"), "answers")
     out = rows.select("doc_id", "n_shingles", "node").join(answer, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
