@@ -171,9 +171,10 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def fill_defaults(events: DataFrame, defaults: DataFrame, date: str = "date_start", title: str = "title") -> DataFrame:
-    """The default rows that no event of their date resembles, added to the events."""
-    same = (defaults[date] == events[date]) & text.title_similar(defaults[title], events[title])
-    return events.unionByName(defaults.join(events, same, "left_anti"), allowMissingColumns=True)
+    """The default rows that no event of their date resembles, added to the events. Defaults are a short list of the program's."""
+    there = events.select(F.col(date).alias("__date"), F.col(title).alias("__title")).distinct()
+    same = (F.col(date) == F.col("__date")) & text.title_similar(F.col(title), F.col("__title"))
+    return events.unionByName(defaults.join(there, same, "left_anti"), allowMissingColumns=True)
 
 
 def numbered_batches(df: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:

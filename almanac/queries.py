@@ -334,6 +334,59 @@ def d25_snapshot_diff(spark, d):
     return dedup.snapshot_diff(o.filter("o_orderkey % 3 <> 0"), after, "o_orderkey", ["o_orderstatus", "o_totalprice"])
 
 
+@query(f"""WITH {RAW_SQL}, k AS (SELECT ord, regexp_replace(trim(lower(organizer)), '\\be\\.\\s*v\\.?\\b', '', 'g') AS o, lower(trim(title)) AS cased FROM raw)
+SELECT ord, trim(regexp_replace(trim(o), '\\s+', ' ', 'g')) AS organizer_key, cased AS title_key FROM k""")
+def n07_organizer_form(spark, d):
+    return raw_events(spark, d).select("ord", text.organizer_without_form(F.col("organizer")).alias("organizer_key"), text.title_key_cased(F.col("title")).alias("title_key"))
+
+
+@query(f"""WITH {RAW_SQL}, old AS (SELECT arg_max(time_raw, ord) AS t, {KEYS_SQL} FROM raw WHERE ord % 2 = 0 GROUP BY kt, kd, kp), k AS (SELECT *, {KEYS_SQL} FROM raw)
+SELECT ord, CASE WHEN t <> '' THEN t ELSE 'new' END AS tags FROM k LEFT JOIN old USING (kt, kd, kp)""")
+def d05_restore(spark, d):
+    r = raw_events(spark, d)
+    old = r.filter("ord % 2 = 0").select(F.col("ord").alias("id"), "title", "date_start", "location", F.col("time_raw").alias("tags"))
+    return dedup.restore_attributes(r.withColumn("tags", F.lit("new")), old, ["tags"]).select("ord", "tags")
+
+
+SIBLING_SQL = """f AS (SELECT doc_id AS id, substr(coalesce(text, ''), 1, 6) AS title, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'short one' ELSE trim(substr(coalesce(text, ''), 1, 80)) END AS d FROM documents)"""
+
+
+def sibling_rows(spark: SparkSession, d: str) -> DataFrame:
+    body = F.substring(text.empty(F.col("text")), 1, 80)
+    desc = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "short one").otherwise(text.strip(body))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(text.empty(F.col("text")), 1, 6).alias("title"), F.lit("").alias("normalized_title"), desc.alias("description"), (F.col("doc_id") % 5).cast("string").alias("date_start"))
+
+
+@query(f"""WITH {SIBLING_SQL.replace("trim(substr(coalesce(text, ''), 1, 80))", "regexp_replace(substr(coalesce(text, ''), 1, 80), '^[ \t\n]+|[ \t\n]+$', '', 'g')")},
+b AS (SELECT x.id, arg_max(y.d, (length(y.d), -y.id)) AS d FROM f x JOIN f y ON x.title = y.title AND x.id <> y.id AND x.title <> '' WHERE length(y.d) >= 20 GROUP BY x.id)
+SELECT f.id, CASE WHEN length(f.d) < 20 THEN coalesce(b.d, f.d) ELSE f.d END AS description FROM f LEFT JOIN b USING (id)""")
+def d09_siblings(spark, d):
+    return dedup.fill_from_siblings(sibling_rows(spark, d)).select("id", "description")
+
+
+@query("""WITH f AS (SELECT p_brand AS day, p_type AS t, min(p_partkey) AS a FROM part GROUP BY 1, 2), c AS (SELECT DISTINCT t FROM f ORDER BY t LIMIT 2), k AS (SELECT min(t) AS canon, max(t) AS variant FROM c)
+SELECT DISTINCT least(f.a, p.p_partkey) AS a, greatest(f.a, p.p_partkey) AS b FROM k JOIN f ON f.t = k.canon JOIN part p ON p.p_type = k.variant AND p.p_brand = f.day""")
+def d11_manual_pairs(spark, d):
+    p = table(spark, d, "part")
+    names = [r[0] for r in p.select("p_type").distinct().orderBy("p_type").limit(2).collect()]
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("title"), F.col("p_brand").alias("date_start"), F.lit("").alias("location"), F.lit("").alias("organizer"), F.lit("").alias("description"))
+    return dedup.manual_pairs(dedup.keyed(rows), {names[0]: [names[-1]]}).select("a", "b")
+
+
+@query(f"""WITH {RAW_SQL}, h AS (SELECT ord, date_start, min(ord) OVER (PARTITION BY date_start) AS first FROM raw WHERE contains(lower(organizer), 'src1'))
+SELECT first AS a, ord AS b FROM h WHERE first <> ord""")
+def d14_organizer_pairs(spark, d):
+    return dedup.organizer_pairs(raw_events(spark, d).withColumnRenamed("ord", "id"), {"src1": "src1"}).select("a", "b")
+
+
+@query(f"""WITH {RAW_SQL}, e AS (SELECT * FROM raw WHERE ord % 2 = 0), d AS (SELECT * FROM raw WHERE ord % 2 = 1),
+q AS (SELECT ord, date_start, lower(trim(title)) AS t, trim(regexp_replace(lower(trim(title)), '[0-9.\\s]+', ' ', 'g')) AS s FROM raw)
+SELECT ord FROM e UNION ALL SELECT ord FROM q x WHERE ord % 2 = 1 AND NOT EXISTS (SELECT 1 FROM q y WHERE y.ord % 2 = 0 AND y.date_start = x.date_start AND (x.s = y.s OR contains(x.t, y.t) OR contains(y.t, x.t)))""")
+def d27_defaults(spark, d):
+    r = raw_events(spark, d)
+    return landing.fill_defaults(r.filter("ord % 2 = 0"), r.filter("ord % 2 = 1")).select("ord")
+
+
 # --- tags ---------------------------------------------------------------------------
 
 G_SQL = f"""WITH {RAW_SQL}, x AS (SELECT ord, lower(title) AS t, lower(title || ' ' || description) AS w, lower(location) AS l, lower(organizer) AS o FROM raw),
@@ -374,6 +427,19 @@ def a09_pivot_counts(spark, d):
     return table(spark, d, "conversations").groupBy("role", (F.col("turn") % 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 200).alias("n_long"))
 
 
+@query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(lower(p_name), 'powder') AND NOT contains(lower(p_name), 'blue') THEN 'P' END, CASE WHEN contains(lower(p_name), 'rose') OR contains(lower(p_name), 'red') THEN 'R' END], lambda x: x IS NOT NULL), ',') AS districts FROM part")
+def g04_match_districts(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.array_join(tagging.match_districts(F.lower("p_name"), {"P": ["powder"], "R": ["rose", "red"]}, {"P": ["blue"]}), ",").alias("districts"))
+
+
+@query(f"""WITH {RAW_SQL}, q AS (SELECT CASE WHEN lower(trim(title)) NOT IN ({", ".join("'" + t + "'" for t in D.GENERIC_TITLES)}) AND length(title) >= 5 THEN 1.0 ELSE 0.3 END + CASE WHEN location <> '' THEN 1.0 ELSE 0.3 END + CASE WHEN regexp_matches(time_raw, '[0-9]') THEN 1.0 ELSE 0.3 END
+ + CASE WHEN length(description) >= 80 THEN 1.0 WHEN length(description) >= 20 THEN 0.7 WHEN length(description) > 0 THEN 0.4 ELSE 0.2 END + 0.4 + 1.0 AS s FROM raw)
+SELECT round(s / 6, 4) >= 0.6 AS passed, count(*) AS n FROM q GROUP BY 1""")
+def a11_quality_counts(spark, d):
+    r = raw_events(spark, d).withColumn("tags", F.array(F.lit("Sport"))).withColumn("sources", F.array("source_url"))
+    return quality.summary(quality.heuristic_scorer(r))
+
+
 # --- series -------------------------------------------------------------------------
 
 GAPS_SQL = """WITH e AS (SELECT user_id, ts::DATE AS day FROM events), s AS (SELECT user_id, date_diff('day', lag(day) OVER (PARTITION BY user_id ORDER BY day), day) AS gap FROM e), g AS (SELECT * FROM s WHERE gap IS NOT NULL)"""
@@ -414,6 +480,12 @@ def r07_earliest(spark, d):
     return table(spark, d, "documents").select("doc_id", series.earliest_pattern(F.col("text"), ["[0-9]+", "http"]).alias("found"))
 
 
+@query("""WITH m AS (SELECT doc_id, regexp_extract_all(text, '([0-9]+)') AS marks FROM documents WHERE text IS NOT NULL) SELECT doc_id, len(marks)::BIGINT AS n, coalesce(marks[1], '') AS first FROM m""")
+def r06_segments(spark, d):
+    parts = series.segments(F.col("text"), "[0-9]+")
+    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(parts).cast("long").alias("n"), text.empty(F.get(parts, F.lit(0))["mark"]).alias("first"))
+
+
 # --- rules and quality --------------------------------------------------------------
 
 
