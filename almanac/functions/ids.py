@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from almanac.functions.text import empty
+from almanac.operators.numbering import numbered
 
 
 def _hex_long(c: Column, digits: int) -> Column:
@@ -33,17 +34,8 @@ def row_hash(*cols: str) -> Column:
 
 
 def resolve_collisions(df: DataFrame, url: str, title: str, date: str, order: str) -> DataFrame:
-    """Adds ``id``: the event id, hashed again with URL, title and 0-based place for rows whose id an earlier row has.
-
-    Places are counted in ``order`` without one task seeing all rows: ranges are
-    numbered each by itself and offset by the rows before them.
-    """
-    base = df.withColumn("__h", event_id(F.col(url), F.col(title), F.col(date)))
-    ranged = base.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    in_part = ranged.withColumn("__i", F.col("__m") - (F.col("__p").cast("long") * F.lit(1 << 33)))
-    sizes = in_part.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    placed = in_part.join(F.broadcast(before), "__p").withColumn("__at", F.col("__before") + F.col("__i"))
+    """Adds ``id``: the event id, hashed again with URL, title and 0-based place in ``order`` for rows whose id an earlier row has."""
+    placed = numbered(df.withColumn("__h", event_id(F.col(url), F.col(title), F.col(date))), [order], "__at")
     firsts = placed.groupBy("__h").agg(F.min("__at").alias("__first"))
     again = F.concat_ws("|", empty(F.col(url)), empty(F.col(title)), F.col("__at").cast("string"))
     out = placed.join(firsts, "__h")

@@ -333,7 +333,9 @@ def look_up_descriptions(df: DataFrame, raw: DataFrame, id_col: str = "id") -> D
 def neighbours(df: DataFrame, key: Sequence[str], id_col: str, label: str) -> DataFrame:
     """``id, n_others, others``: the other rows of a row's key.
 
-    The labels of a key are gathered once for each key and joined back; the row itself is taken out there.
+    What a row gets grows with its key's rows, so this is for keys with few rows each, as the
+    events of one day and district; ``quality.context`` counts them for keys of any size. The labels of a key are gathered
+    once for each key and joined back; the row itself is taken out there.
     """
     all_ = df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(id_col).alias("id"), F.col(label).alias("label")))).alias("all"))
     out = df.select(id_col, *key).join(all_, [*key])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from almanac import dictionaries as D
 from almanac.functions import dates, text
+from almanac.operators.numbering import numbered
 
 RAW_SCHEMA = "title string, date_start string, date_end string, time_raw string, location string, organizer string, description string, event_url string"
 RAW_KEY = ("source_url", "event_url", "date_start", "title")
@@ -178,9 +179,5 @@ def fill_defaults(events: DataFrame, defaults: DataFrame, date: str = "date_star
 
 
 def numbered_batches(df: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:
-    """``batch``: rows in order, ``size`` to a batch, numbered without bringing them into one task."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
-    place = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
-    sizes = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy(F.col("a.__p").alias("__p")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
-    return place.join(F.broadcast(before), "__p").withColumn("batch", F.floor((F.col("__before") + F.col("__i") - 1) / size).cast("long")).select(*df.columns, "batch")
+    """``batch``: rows in order, ``size`` to a batch."""
+    return numbered(df, order, "__at").withColumn("batch", F.floor(F.col("__at") / size).cast("long")).drop("__at")

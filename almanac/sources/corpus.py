@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from almanac.functions import text
 from almanac.operators.dedup import snapshot_diff
 from almanac.operators.landing import PUBLISHED
+from almanac.operators.numbering import numbered
 from almanac.storage import materialize
 
 CORPUS_SCHEMA = "title string, date_start string, date_end string, time_raw string, location string, organizer string, description string, event_url string, sources array<string>, tags array<string>, recurring_group_id long, is_passed int, featured int, _corrupt_record string"
@@ -28,18 +29,19 @@ def by_source(corpus: DataFrame) -> DataFrame:
 
 
 def named(df: DataFrame, mode: str = "suffix") -> DataFrame:
-    """Adds ``file``. ``suffix``: names that repeat get _1, _2... in order of date and title; ``overwrite``: the last of them stays.
+    """Adds ``file``. ``suffix``: names that repeat get _1, _2... in order of date, title and id; ``overwrite``: the last of them stays.
 
-    Slugs hold no underscore, so a suffixed name is never another's name. Rows of one name are numbered together; they have one date and all but one title.
+    Slugs hold no underscore, so a suffixed name is never another's name. Rows are numbered
+    over all names and the number of a name's first row is taken off, so a name may have any number of rows.
     """
-    base = df.withColumn("__base", text.file_name(F.col("date_start"), F.col("title")))
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("__base").orderBy("date_start", "title", "id"))
+    placed = numbered(df.withColumn("__base", text.file_name(F.col("date_start"), F.col("title"))), ["__base", "date_start", "title", "id"], "__at")
+    ends = placed.groupBy("__base").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+    out = placed.join(ends, "__base")
     if mode == "overwrite":
-        return base.withColumn("__n", place).join(base.groupBy("__base").agg(F.count(F.lit(1)).alias("__all")), "__base").filter("__n = __all").withColumnRenamed("__base", "file").drop("__n", "__all")
-    n = base.withColumn("__n", place - 1)
-    return n.withColumn("file", F.when(F.col("__n") == 0, F.col("__base")).otherwise(F.concat(F.regexp_replace("__base", r"\.json$", ""), F.lit("_"), F.col("__n").cast("string"), F.lit(".json")))).drop("__base", "__n")
+        return out.filter("__at = __last").withColumn("file", F.col("__base")).select(*df.columns, "file")
+    n = F.col("__at") - F.col("__first")
+    name = F.when(n == 0, F.col("__base")).otherwise(F.concat(F.regexp_replace("__base", r"\.json$", ""), F.lit("_"), n.cast("string"), F.lit(".json")))
+    return out.withColumn("file", name).select(*df.columns, "file")
 
 
 def write_corpus(df: DataFrame, folder: str) -> DataFrame:
