@@ -126,18 +126,24 @@ def _ordered(pairs: DataFrame, name: str) -> DataFrame:
     return pairs.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), F.lit(name).alias("pass")).distinct()
 
 
+def _alike(rows: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Rows that no predicate of a pass tells apart, as one: the first of them stands for all."""
+    return rows.groupBy(*block, "t", "tc", "org", "org_plain").agg(F.min("id").alias("id"))
+
+
 def same_place_pairs(rows: DataFrame, guard: str = "contain") -> DataFrame:
     """Pass 1: same date and district; titles equal, or both over 6 letters and one contained in the other, with or without spaces.
 
-    Equal titles are linked to the first of their group only; the rest follows from it.
+    Rows with equal titles are linked to the first of their group, and groups are matched by their first rows: the
+    same components as from all pairs, without a pair for each two copies.
     """
     ok = compatible(F.col("a_org"), F.col("b_org"), guard)
-    long_ = rows.filter((F.length("t") > 6) & (F.length("tc") > 0))
-    inside = _candidates(long_, ["day", "place"], _one_gram(F.col("tc")), _grams(F.col("tc")))
+    block = ["day", "place"]
+    long_ = _alike(rows, block).filter((F.length("t") > 6) & (F.length("tc") > 0))
+    inside = _candidates(long_, block, _one_gram(F.col("tc")), _grams(F.col("tc")))
     # A short text whose length is under a gram is its own gram: only equal texts meet, longer ones are looked up piece by piece.
-    tiny = _candidates_tiny(long_, ["day", "place"])
-    contained = inside.unionByName(tiny).filter(F.contains("b_tc", F.col("a_tc")) & (F.col("a_t") != F.col("b_t")) & ok)
-    return _ordered(contained, "place").unionByName(equal_pairs(rows, ["day", "place", "t"], "org", guard, "place")).distinct()
+    contained = inside.unionByName(_candidates_tiny(long_, block)).filter(F.contains("b_tc", F.col("a_tc")) & (F.col("a_t") != F.col("b_t")) & ok)
+    return _ordered(contained, "place").unionByName(equal_pairs(rows, [*block, "t"], "org", guard, "place")).distinct()
 
 
 def _candidates_tiny(rows: DataFrame, block: Sequence[str]) -> DataFrame:
@@ -169,19 +175,27 @@ def equal_pairs(rows: DataFrame, block: Sequence[str], org: str, guard: str, nam
 
 
 def any_place_pairs(rows: DataFrame, guard: str = "contain") -> DataFrame:
-    """Pass 2: same date, titles different, both over 6 letters without spaces; one holds the other and is at most twice as long, or every word of the short is part of a word of the long."""
-    long_ = rows.filter(F.length("tc") > 6).withColumn("words", F.filter(F.split("t", r"(?U)\s+"), lambda w: w != ""))
-    # The shorter of two titles, spaces counted, is the short one; of two alike in length the later.
-    a_is_short = (F.length("a_t") < F.length("b_t")) | (F.length("a_t") == F.length("b_t")) & (F.col("a_id") > F.col("b_id"))
-    whole = _candidates(long_, ["day"], _one_gram(F.col("tc")), _grams(F.col("tc"))).filter(F.contains("b_tc", F.col("a_tc")) & (~a_is_short | (F.length("a_tc") >= F.length("b_tc") * 0.5)))
+    """Pass 2: same date, titles different, both over 6 letters without spaces; one holds the other and is at most twice as long, or every word of the short is part of a word of the long.
+
+    Of two titles alike in length either may be the short one. Groups of rows alike in title and organizer are matched
+    by their first rows; the other rows of a matched group are linked to its first partner.
+    """
+    groups = _alike(rows, ["day"])
+    long_ = groups.filter(F.length("tc") > 6).withColumn("words", F.filter(F.split("t", r"(?U)\s+"), lambda w: w != ""))
+    a_may_be_long = F.length("a_t") >= F.length("b_t")
+    whole = _candidates(long_, ["day"], _one_gram(F.col("tc")), _grams(F.col("tc"))).filter(F.contains("b_tc", F.col("a_tc")) & (a_may_be_long | (F.length("a_tc") >= F.length("b_tc") * 0.5)))
     longest_word = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
     probe = F.substring(longest_word, F.lit(1), F.least(F.length(longest_word), F.lit(3)))
-    pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: _grams(w, 3))))
-    small = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(_grams(w, 1), _grams(w, 2)))))
+    pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(_grams(w, 3), _grams(w, 1), _grams(w, 2)))))
     words_inside = F.forall("a_words", lambda w: F.exists("b_words", lambda x: F.contains(x, w)))
-    by_word = _candidates(long_, ["day"], probe, F.array_distinct(F.concat(pieces, small))).filter(a_is_short & words_inside)
+    by_word = _candidates(long_, ["day"], probe, pieces).filter((F.length("a_t") <= F.length("b_t")) & words_inside)
     ok = compatible(F.col("a_org"), F.col("b_org"), guard) if guard == "contain" else compatible(F.col("a_org_plain"), F.col("b_org_plain"), "contain")
-    return _ordered(whole.unionByName(by_word).filter((F.col("a_t") != F.col("b_t")) & ok), "date")
+    matched = whole.unionByName(by_word).filter((F.col("a_t") != F.col("b_t")) & ok).select("a_id", "b_id").distinct()
+    either = matched.unionByName(matched.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
+    partner = either.groupBy(F.col("a_id").alias("first")).agg(F.min("b_id").alias("b_id"))
+    first = rows.join(groups.withColumnRenamed("id", "first"), ["day", "t", "tc", "org", "org_plain"]).select("id", "first").filter("id <> first")
+    rest = first.join(partner, "first").select(F.col("id").alias("a_id"), "b_id")
+    return _ordered(matched.unionByName(rest), "date")
 
 
 def manual_pairs(rows: DataFrame, dupes: dict[str, list[str]] = D.MANUAL_DUPES) -> DataFrame:

@@ -230,17 +230,20 @@ def part_rows(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("date_start"), F.col("p_size").cast("string").alias("location"), F.lit("").alias("organizer"), F.col("p_type").alias("description"))
 
 
-@query(f"""WITH {PART_SQL}, p AS (SELECT a.id AS a, b.id AS b FROM rows a JOIN rows b ON a.day = b.day AND a.place = b.place AND a.id <> b.id AND a.t <> b.t AND length(a.t) > 6 AND length(b.t) > 6 AND contains(b.tc, a.tc)
+@query(f"""WITH {PART_SQL}, g AS (SELECT min(id) AS id, t, tc, day, place FROM rows GROUP BY t, tc, day, place),
+p AS (SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.day = b.day AND a.place = b.place AND a.id <> b.id AND length(a.t) > 6 AND length(b.t) > 6 AND contains(b.tc, a.tc)
 UNION ALL SELECT first, id FROM (SELECT id, min(id) OVER (PARTITION BY day, place, t) AS first FROM rows) WHERE id <> first)
 SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p""")
 def d07_same_place_pairs(spark, d):
     return dedup.same_place_pairs(dedup.keyed(part_rows(spark, d))).select("a", "b")
 
 
-@query(f"""WITH {PART_SQL}, w AS (SELECT *, string_split(t, ' ') AS ws FROM rows WHERE length(tc) > 6),
-p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.day = b.day AND a.id <> b.id AND a.t <> b.t AND (length(a.t) < length(b.t) OR length(a.t) = length(b.t) AND a.id > b.id)
- AND (((contains(b.tc, a.tc) OR contains(a.tc, b.tc)) AND length(a.tc) >= length(b.tc) * 0.5) OR len(list_filter(a.ws, lambda x: len(list_filter(b.ws, lambda y: contains(y, x))) = 0)) = 0))
-SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM p""")
+@query(f"""WITH {PART_SQL}, w AS (SELECT min(id) AS id, t, tc, day, string_split(t, ' ') AS ws FROM rows WHERE length(tc) > 6 GROUP BY t, tc, day),
+p AS (SELECT a.id AS a, b.id AS b FROM w a JOIN w b ON a.day = b.day AND a.t <> b.t AND length(a.t) <= length(b.t)
+ AND (((contains(b.tc, a.tc) OR contains(a.tc, b.tc)) AND length(a.tc) >= length(b.tc) * 0.5) OR len(list_filter(a.ws, lambda x: len(list_filter(b.ws, lambda y: contains(y, x))) = 0)) = 0)),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), m AS (SELECT a, min(b) AS b FROM e GROUP BY a),
+f AS (SELECT id, min(id) OVER (PARTITION BY day, t) AS first FROM rows)
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM (SELECT a, b FROM p UNION ALL SELECT f.id, m.b FROM f JOIN m ON m.a = f.first WHERE f.id <> f.first)""")
 def d08_any_place_pairs(spark, d):
     return dedup.any_place_pairs(dedup.keyed(part_rows(spark, d))).select("a", "b")
 
