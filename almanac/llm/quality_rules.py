@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from almanac.llm import ngrams
 from almanac.llm.common import materialize, slices, utf8
 
-#: Words whose counts or scores one worker holds at once.
+#: Words of all languages whose counts or scores one worker holds, give or take a batch.
 WORDS_HELD = 400_000
 #: Languages with models and bands of their own; the rest share one.
 LANGUAGES = 32
@@ -98,8 +98,8 @@ def gram_counts(rows: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text:
                     held[lang].update(utf8(text).split())
-                    if len(held[lang]) > WORDS_HELD:
-                        fold(lang)
+            while sum(map(len, held.values())) > WORDS_HELD:
+                fold(max(held, key=lambda x: len(held[x])))
         for lang in [*held]:
             if held[lang]:
                 fold(lang)
@@ -134,9 +134,9 @@ def scored(rows: DataFrame, models: dict[str, ngrams.Model]) -> DataFrame:
             missing: dict[str, set] = defaultdict(set)
             for lang, words in zip(langs, split):
                 missing[lang].update(words)
+            if sum(map(len, known.values())) > WORDS_HELD:
+                known.clear()
             for lang, words in missing.items():
-                if len(known[lang]) > WORDS_HELD:
-                    known[lang] = {}
                 new = [w for w in words if w not in known[lang]]
                 for at in range(0, len(new), 50_000):
                     part = new[at : at + 50_000]
