@@ -9,7 +9,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almanac.functions import text
-from almanac.operators.dedup import snapshot_diff
+from almanac.functions.ids import resolve_collisions
+from almanac.operators.dedup import redirects, snapshot_diff
 from almanac.operators.landing import PUBLISHED
 from almanac.operators.numbering import numbered
 from almanac.storage import materialize
@@ -93,6 +94,23 @@ def seed(corpus: DataFrame, default_source: str = "seed") -> tuple[DataFrame, Da
     return raw, rows, links
 
 
+def build_tables(corpus: DataFrame, folder: str, pairs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Write the corpus under stable ids, sorted by date for pruning, with the redirects from old ids that still lead somewhere; both replace what was there."""
+    events = resolve_collisions(corpus, "event_url", "title", "date_start", "file")
+    events.repartitionByRange("date_start", "id").sortWithinPartitions("date_start", "id").write.mode("overwrite").parquet(f"{folder}/events")
+    stored = corpus.sparkSession.read.parquet(f"{folder}/events")
+    if pairs is None:
+        pairs = corpus.sparkSession.createDataFrame([], "old_id long, new_id long")
+    redirects(stored, pairs).write.mode("overwrite").parquet(f"{folder}/id_redirects")
+    return stored, corpus.sparkSession.read.parquet(f"{folder}/id_redirects")
+
+
+def restore_tables(spark: SparkSession, exported: str, folder: str) -> DataFrame:
+    """Replace the event table by an exported one."""
+    materialize(spark.read.parquet(exported), "restored").write.mode("overwrite").parquet(f"{folder}/events")
+    return spark.read.parquet(f"{folder}/events")
+
+
 def change_report(before: DataFrame, after: DataFrame, fold: int = 10) -> str:
     """Markdown: what was added, changed and removed between two corpora, by file. Each table shows ``fold`` rows and counts the rest."""
     diff = snapshot_diff(before, after, "file", [c for c in PUBLISHED if c in before.columns])

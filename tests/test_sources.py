@@ -59,6 +59,13 @@ def test_corpus_round_trip(spark, tmp_path):
     assert corpus.read_corpus(spark, folder).count() == 2
     report = corpus.change_report(back.filter("file <> 'unknown_event.json'"), back)
     assert "## Added: 1" in report and "## Removed: 0" in report
+    pairs = spark.createDataFrame([(7, 99)], "old_id long, new_id long")
+    events, leads = corpus.build_tables(back, f"file://{tmp_path}/db", pairs)
+    one = events.first().id
+    assert events.count() == 3 and leads.count() == 0
+    _, leads = corpus.build_tables(back, f"file://{tmp_path}/db", spark.createDataFrame([(7, one), (9, one)], "old_id long, new_id long"))
+    assert [tuple(r) for r in leads.collect()] == [(9, one)]
+    assert corpus.restore_tables(spark, f"file://{tmp_path}/db/events", f"file://{tmp_path}/db").count() == 3
     raw_rows, curated, links = corpus.seed(back)
     assert (raw_rows.count(), links.count()) == (2, 2)
 
