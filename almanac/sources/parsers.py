@@ -147,6 +147,41 @@ def merged_sources(frames: Sequence[DataFrame], key: Sequence[str]) -> DataFrame
     return out
 
 
+def upcoming(df: DataFrame, day: str, with_today: bool = True) -> DataFrame:
+    """Events from ``day`` on, or after it."""
+    return df.filter((F.col("date_start") >= day) if with_today else (F.col("date_start") > day)).filter("date_start <> ''")
+
+
+def ends_after_start(df: DataFrame) -> DataFrame:
+    """An end before the start is none."""
+    return df.withColumn("date_end", F.when(F.col("date_end") >= F.col("date_start"), F.col("date_end")))
+
+
+def titled_by_place(df: DataFrame, generic: Sequence[str]) -> DataFrame:
+    """Titles that say nothing by themselves get their place in brackets."""
+    says_little = F.lower(text.strip(F.col("title"))).isin([g.lower() for g in generic]) & (text.empty(F.col("location")) != "")
+    return df.withColumn("title", F.when(says_little, F.concat("title", F.lit(" ("), "location", F.lit(")"))).otherwise(F.col("title")))
+
+
+def heading_events(pages: DataFrame, heading: str, day: str, width: int = 10_000) -> DataFrame:
+    """Events whose heading a pattern matches: the first date in the heading or in what follows it, after ``day``; dates at the end of titles go."""
+    rows = windows_after(pages, heading, width)
+    plain = text.strip_html(F.col("heading"))
+    said = F.concat_ws(" ", plain, text.strip_html(F.col("body")))
+    when = F.coalesce(F.nullif(dates.german_date(said), F.lit("")), dates.german_month_date(said))
+    title = text.strip(F.regexp_replace(plain, r"[\s,–-]*\d{1,2}\.\s*(?:\d{1,2}\.|\p{L}+)\s*(?:\d{2,4})?\s*$", ""))
+    return upcoming(rows.select("page_id", "pos", title.alias("title"), when.alias("date_start"), dates.start_time(said).alias("time_raw")), day, with_today=False)
+
+
+def with_cards(items: DataFrame, cards: DataFrame, columns: Sequence[str], key: str = "date_start") -> DataFrame:
+    """List items, the first for each key, with the fields of the card of that key."""
+    from almanac.operators.dedup import overlay
+    from almanac.operators.landing import distinct_first
+
+    one = distinct_first(cards, [key], ["page_id", "pos"])
+    return overlay(distinct_first(items, [key], ["page_id", "pos"]), one, key, columns)
+
+
 SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
 

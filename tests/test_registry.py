@@ -47,3 +47,17 @@ def test_generators_and_run(spark):
     assert [(r.source_url, r.title) for r in out] == [("meinstutensee", "N"), ("buechigerleben", "Fest")] and list(SOURCES)[:2] == ["official", "eggenstein"]
     club = registry.clubs([landed_rows for landed_rows in [spark.createDataFrame([("A", "2026-01-01", "Forbach"), ("B", "", "x"), ("C", "2026-01-01", None)], "title string, date_start string, location string")]])
     assert [r.title for r in club.collect()] == ["C"]
+
+
+def test_helpers(spark):
+    from almanac.sources import parsers
+
+    html = "<h3>Sommerfest 03.07.2026</h3><p>um 18 Uhr</p><h3>Alt, 1. Januar 2020</h3><p>vorbei</p><h3>Ohne</h3>"
+    out = parsers.heading_events(pages(spark, html), r"<h3>[^<]*</h3>", "2026-01-01", 40).collect()
+    assert [(r.title, r.date_start, r.time_raw) for r in out] == [("Sommerfest", "2026-07-03", "18:00")]
+    rows = spark.createDataFrame([(0, 0, "Gruppe", "2026-01-02", "2026-01-01", "Saal"), (0, 1, "Fest", "2026-01-02", "2026-01-03", "")], "page_id long, pos int, title string, date_start string, date_end string, location string")
+    assert [r.title for r in parsers.titled_by_place(rows, ["gruppe"]).orderBy("pos").collect()] == ["Gruppe (Saal)", "Fest"]
+    assert [r.date_end for r in parsers.ends_after_start(rows).orderBy("pos").collect()] == [None, "2026-01-03"]
+    cards = rows.withColumn("location", rows["title"])
+    assert [(r.title, r.location) for r in parsers.with_cards(rows, cards, ["location"]).collect()] == [("Gruppe", "Gruppe")]
+    assert parsers.upcoming(rows, "2026-01-02").count() == 2 and parsers.upcoming(rows, "2026-01-02", False).count() == 0
