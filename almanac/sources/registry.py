@@ -33,6 +33,19 @@ CAFE = [
     ("Kaffee-Kuchen-Spiele", 3, None, (8, 9), "15:00 – 17:00"),
     ("Witwenstammtisch", 1, [1, 3], (), "16:00 – 19:00"),
 ]
+# Sites whose entries are elements of a class, fields elements of classes inside: block, fields, constants.
+CARD_SITES = {
+    "linkenheim": ("post-entry", {"title": "post-title", "date_start": "date-time", "time_raw": "date-time", "description": "entry-content"}, {"location": "Linkenheim-Hochstetten", "organizer": ""}),
+    "graben_neudorf": ("hwveranstaltung__record", {"title": "hw_record__title", "date_start": "hw_record__date", "time_raw": "hw_record__time", "organizer": "hw_record__organizer", "location": "hw_record__simpleLocation"}, {}),
+    "bretten": ("views-row", {"title": "views-field-title", "date_start": "views-field-field-eventdate", "time_raw": "views-field-field-eventdate"}, {"location": "Bretten", "organizer": ""}),
+    "cvjm_graben_neudorf": ("ec-item-box", {"title": "title", "date_start": "ec-date", "time_raw": "ec-date", "location": "address"}, {"organizer": "CVJM Graben-Neudorf"}),
+    "karlsdorf_neuthard": ("ec-item-box", {"title": "ec-title", "date_start": "ec-date", "time_raw": "ec-date", "location": "ec-location"}, {"organizer": "Bürgerstiftung Karlsdorf-Neuthard"}),
+    "hagsfeld": ("layout_upcoming", {"title": "title", "date_start": "date", "time_raw": "date", "location": "location"}, {"organizer": "Bürgerkommission Hagsfeld e.V."}),
+    "bruchsal": ("zmitem", {"title": "titel", "date_start": "zmitem__time", "time_raw": "zmitem__time"}, {"location": "", "organizer": ""}),
+    "ekistuwei": ("v-calfe-item", {"title": "termin-titel", "date_start": "termin-datum", "time_raw": "termin-zeit", "location": "oertlichkeit-name"}, {}),
+}
+GENERIC_CVJM = ["gottesdienst", "center"]
+TRADE_ORGANIZER = "Gewerbeverein Stutensee"
 # End of the fixed values.
 
 
@@ -117,6 +130,72 @@ def sport_club(feeds: DataFrame, day: str) -> DataFrame:
     return out.withColumn("date_start", when).filter((F.col("date_start") != "") & (F.col("date_start") > day)).withColumns({"location": F.lit(SPORT_PARK), "organizer": F.lit("VSV Büchig e.V."), "page_id": F.lit(0).cast("long")})
 
 
+def card_events(pages: DataFrame, block: str, fields: dict[str, str], constants: dict[str, str]) -> DataFrame:
+    """Events of elements of a class: each runs to the next of its class, each field from an element of its class to the next closing block.
+
+    Dates may be ranges, in figures or with the month's name, or stand in a ``datetime`` attribute; entries without date or title go.
+    """
+    mark = lambda c: rf'class="[^"]*(?<![\w-]){c}(?![\w-])[^"]*"'
+    rows = parsers.blocks(pages, rf"{mark(block)}[^>]*>(.*?)(?={mark(block)}|\z)")
+    inner = {f: F.regexp_extract("block", rf"(?s){mark(c)}([^>]*>.*?)</(?:div|p|h\d|li|td|time|article|section)>", 1) for f, c in fields.items()}
+    plain = {f: text.strip_html(text.decode_basic(F.regexp_replace(c, "^[^>]*>", ""))) for f, c in inner.items()}
+    attribute = F.regexp_extract(inner["date_start"], r'(?:datetime|content)="([^"]+)"', 1)
+    start, end = dates.date_range(plain["date_start"])
+    when = F.coalesce(F.nullif(dates.iso_date(attribute), F.lit("")), F.nullif(start, F.lit("")), dates.german_month_date(plain["date_start"]))
+    out = {f: c for f, c in plain.items() if f not in ("date_start", "time_raw")} | {"date_start": when, "date_end": F.nullif(end, F.lit(""))}
+    out["time_raw"] = F.coalesce(F.nullif(dates.iso_time(attribute), F.lit("")), dates.start_time(plain.get("time_raw", F.lit(""))))
+    out["event_url"] = text.clean_event_url(text.decode_basic(F.regexp_extract("block", r'<a[^>]*href="([^"]+)"', 1)))
+    out |= {k: F.lit(v) for k, v in constants.items()}
+    return rows.select("page_id", "pos", *[c.alias(f) for f, c in out.items()]).filter("date_start <> '' and title <> ''")
+
+
+def _card_site(name: str) -> None:
+    block, fields, constants = CARD_SITES[name]
+
+    @parsers.source(name)
+    def parse(pages: DataFrame, day: str) -> DataFrame:
+        out = parsers.ends_after_start(card_events(pages, block, fields, constants))
+        if name == "cvjm_graben_neudorf":
+            out = parsers.titled_by_place(out, GENERIC_CVJM)
+        return _first_of(out, "date_start", "title") if "location" not in fields else _first_of(out, "date_start", "title", "location")
+
+
+for _name in CARD_SITES:
+    _card_site(_name)
+
+
+@parsers.source("gewerbeverein")
+def trade_association(pages: DataFrame, day: str) -> DataFrame:
+    """List items ``Sa., 3.7. TITLE ab 10:00 Uhr | place``: the first for each day; the title is the first word in capitals, the year that of the run."""
+    rows = parsers.blocks(pages, "<li>(.*?)</li>").withColumn("line", text.strip_html(text.decode_basic(F.col("block"))))
+    title = F.regexp_extract("line", r"([A-ZÄÖÜ]{2,}(?:/[A-ZÄÖÜ]+)?)", 1)
+    out = rows.select("page_id", "pos", title.alias("title"), dates.day_month(F.col("line"), int(day[:4])).alias("date_start"), dates.start_time(F.col("line")).alias("time_raw"), text.strip(F.regexp_extract("line", r"\|\s*([^|]+)$", 1)).alias("location"), F.lit(TRADE_ORGANIZER).alias("organizer"))
+    return _first_of(out.filter("title <> '' and date_start <> ''"), "date_start")
+
+
+@parsers.source("svstaffort")
+def sports_club(pages: DataFrame, day: str) -> DataFrame:
+    """Table of dates from today on; an end before the start is none."""
+    out = parsers.table_rows(pages, ["from_", "to_", "title"])
+    rows = out.select("page_id", "pos", "title", dates.german_date(F.col("from_")).alias("date_start"), F.nullif(dates.german_date(F.col("to_")), F.lit("")).alias("date_end"), dates.start_time(F.col("from_")).alias("time_raw"), F.lit("SV Staffort e.V.").alias("organizer"))
+    return parsers.upcoming(parsers.ends_after_start(rows), day)
+
+
+@parsers.source("rintheim")
+def citizens(pages: DataFrame, day: str) -> DataFrame:
+    """Posts under headings, dated after today by what they say."""
+    return parsers.heading_events(pages, r'<h2 class="entry-title">(?:(?!</h2>).)*</h2>', day).withColumns({"location": F.lit("Karlsruhe-Rintheim"), "organizer": F.lit("Bürgerverein Rintheim")})
+
+
+@parsers.source("tsg_blankenloch")
+def gymnastics(pages: DataFrame, day: str) -> DataFrame:
+    """Table of dates; a title's rows inside the interval kept last go."""
+    out = parsers.table_rows(pages, ["when", "title", "location"])
+    start, end = dates.date_range(F.col("when"))
+    rows = out.select("page_id", "pos", "title", start.alias("date_start"), F.coalesce(F.nullif(end, F.lit("")), start).alias("date_end"), F.when(F.col("location") == "", "TSG Blankenloch").otherwise(F.col("location")).alias("location"), F.lit("TSG Blankenloch").alias("organizer")).filter("date_start <> ''")
+    return landing.without_contained(rows, "title", "date_start", "date_end", ["page_id", "pos"])
+
+
 def regional_press(events: DataFrame, places: DataFrame, organizers: DataFrame) -> DataFrame:
     """REST events (``body``, one JSON object a row) with their places and organizers looked up by id (``id, name``); the first of each day and title stays."""
     get = lambda k: text.empty(F.get_json_object("body", f"$.{k}"))

@@ -61,3 +61,25 @@ def test_helpers(spark):
     cards = rows.withColumn("location", rows["title"])
     assert [(r.title, r.location) for r in parsers.with_cards(rows, cards, ["location"]).collect()] == [("Gruppe", "Gruppe")]
     assert parsers.upcoming(rows, "2026-01-02").count() == 2 and parsers.upcoming(rows, "2026-01-02", False).count() == 0
+
+
+def test_card_sites(spark):
+    box = '<div class="ec-item-box x"><h3 class="title">Gottesdienst</h3><p class="ec-date">3.7.2026 19:30</p><p class="address">Saal</p><a href="/x?zm.sid=1">m</a></div>'
+    r = SOURCES["cvjm_graben_neudorf"](pages(spark, box + box + '<div class="ec-item-box"><h3 class="title">Ohne Datum</h3></div>'), "2026-01-01").collect()
+    assert [(x.title, x.date_start, x.time_raw, x.location, x.organizer, x.event_url) for x in r] == [("Gottesdienst (Saal)", "2026-07-03", "19:30", "Saal", "CVJM Graben-Neudorf", "/x")]
+    row = '<div class="views-row"><div class="views-field-title"><a href="/a">A</a></div><div class="views-field-field-eventdate"><span content="2026-07-03T18:00:00+02:00">Fr</span></div></div>'
+    assert [(x.title, x.date_start, x.time_raw) for x in SOURCES["bretten"](pages(spark, row), "2026-01-01").collect()] == [("A", "2026-07-03", "18:00")]
+    rec = '<div class="hwveranstaltung__record"><h3 class="hw_record__title"><span>Fest</span></h3><div class="hw_record__date">03.07.2026 bis 05.07.2026</div><div class="hw_record__organizer">V</div><div class="hw_record__simpleLocation">Ort</div></div>'
+    x = SOURCES["graben_neudorf"](pages(spark, rec), "2026-01-01").first()
+    assert (x.title, x.date_start, x.date_end, x.organizer, x.location) == ("Fest", "2026-07-03", "2026-07-05", "V", "Ort")
+
+
+def test_more_sites(spark):
+    li = "<ul><li>Sa., 3.7. MARKTTAG ab 10:00 Uhr | Rathaus</li><li>Sa., 3.7. ZWEITER</li><li>nichts</li></ul>"
+    assert [(x.title, x.date_start, x.time_raw, x.location) for x in SOURCES["gewerbeverein"](pages(spark, li), "2026-01-01").collect()] == [("MARKTTAG", "2026-07-03", "10:00", "Rathaus")]
+    tr = "<table><tr><td>03.07.2026 @ 10:30</td><td>01.07.2026</td><td>Spiel</td></tr><tr><td>03.07.2020</td><td></td><td>Alt</td></tr></table>"
+    assert [(x.title, x.date_start, x.date_end, x.time_raw) for x in SOURCES["svstaffort"](pages(spark, tr), "2026-01-01").collect()] == [("Spiel", "2026-07-03", None, "10:30")]
+    tr = "".join(f"<tr><td>{d}</td><td>Einsatz</td><td></td></tr>" for d in ("03.07.2026 bis 05.07.2026", "04.07.2026", "06.07.2026", "07.07.2026"))
+    assert sorted(x.date_start for x in SOURCES["tsg_blankenloch"](pages(spark, tr), "2026-01-01").collect()) == ["2026-07-03", "2026-07-06"]
+    post = '<h2 class="entry-title"><a href="/p" rel="bookmark">Hoffest am 3. Juli 2026</a></h2><div class="entry-content">um 18 Uhr</div>'
+    assert [(x.date_start, x.time_raw) for x in SOURCES["rintheim"](pages(spark, post), "2026-01-01").collect()] == [("2026-07-03", "18:00")]
