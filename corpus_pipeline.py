@@ -21,9 +21,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each class of near duplicates on five-word shingles. Rows without id stay."""
+    """One document, that with the smallest id, of each class of near duplicates on five-word shingles. Rows without id stay, and so does an id that comes with several texts while one of them is kept."""
     found = minhash.near_duplicates(docs, words=5, similarity=(80, 100))
-    dropped = found.filter(~F.col("kept")).select("doc_id").distinct()
+    dropped = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter(~F.col("kept")).select("doc_id")
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
