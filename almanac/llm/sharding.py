@@ -30,13 +30,21 @@ def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def _directory(rows: DataFrame, low: int, high: int, limit_bytes: int) -> DataFrame:
-    """For each prefix of ``high`` bits: the leaf that covers it, at a depth of ``low`` or more, or null where even ``high`` bits leave too much."""
+    """For each prefix of ``high`` bits: the leaf that covers it, at a depth of ``low`` or more, or null where even ``high`` bits leave too much.
+
+    A bucket is a leaf if it fits and its parent doesn't. Buckets meet their parents, one
+    each, and a leaf is spread over the prefixes it covers, which are as many in all as there are prefixes.
+    """
     fine = rows.groupBy(F.shiftright("hash", HASH_BITS - high).alias("fine")).agg(F.sum("n_bytes").alias("b"), F.count(F.lit(1)).alias("n"))
-    levels = fine.select("fine", "b", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth")).withColumn("prefix", F.expr(f"shiftright(fine, {high} - depth)"))
-    buckets = levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs"))
-    fit = buckets.filter((F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1))
-    leaf = levels.select("fine", "depth", "prefix").join(fit, ["depth", "prefix"]).groupBy("fine").agg(F.min(F.struct("depth", "prefix", "shard_bytes", "shard_docs")).alias("leaf"))
-    return fine.select("fine").join(leaf, "fine", "left").select("fine", "leaf.*")
+    levels = fine.select("b", "n", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"), "fine").withColumn("prefix", F.expr(f"shiftright(fine, {high} - depth)"))
+    buckets = materialize(levels.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs")), "shard-buckets")
+    fits = (F.col("shard_bytes") <= limit_bytes) | (F.col("shard_docs") == 1)
+    parents = buckets.select((F.col("depth") + 1).alias("depth"), F.col("prefix").alias("above"), fits.alias("parent_fits"))
+    leaves = buckets.filter(fits).withColumn("above", F.shiftright("prefix", 1)).join(parents, ["depth", "above"], "left").filter(~F.coalesce("parent_fits", F.lit(False)))
+    first = F.expr(f"shiftleft(prefix, {high} - depth)")
+    covered = leaves.select(F.explode(F.sequence(first, first + F.expr(f"shiftleft(1L, {high} - depth)") - 1)).alias("fine"), "depth", "prefix", "shard_bytes", "shard_docs")
+    open_ = buckets.filter((F.col("depth") == high) & ~fits).select(F.col("prefix").alias("fine"), *[F.lit(None).cast(t).alias(c) for c, t in (("depth", "int"), ("prefix", "long"), ("shard_bytes", "long"), ("shard_docs", "long"))])
+    return covered.unionByName(open_)
 
 
 def assign_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
