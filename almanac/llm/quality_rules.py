@@ -1,8 +1,8 @@
 """Quality rules: counts that any document must pass, then language-specific perplexity bands.
 
-Grams of letters are counted over all documents by Spark, a modified Kneser-Ney model is made for
-each language, every document is scored with its language's model, and documents whose
-log perplexity lies outside the band of their language are rejected.
+Grams of characters are counted over all documents by Spark, a modified Kneser-Ney model is made for
+each language in tables, every document is scored with its language's model by join (``charmodel``), and
+documents whose log perplexity lies outside the band of their language are rejected.
 """
 
 from __future__ import annotations
@@ -11,9 +11,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm import ngrams
+from almanac.llm import charmodel, ngrams
 from almanac.llm.common import materialize, slices, utf8
 
 #: Words of all languages whose counts or scores one worker holds, give or take a batch.
@@ -21,8 +22,8 @@ WORDS_HELD = 400_000
 #: Languages with models and bands of their own; the rest share one.
 LANGUAGES = 32
 OTHER = "other"
-#: The model of all languages, and the part of its words that a document of one language is expected to hold.
-POOLED, FOREIGN = "", 0.2
+#: The part of its words that a document of one language is expected to hold in others.
+FOREIGN = 0.2
 #: A document's log perplexity is drawn to its language's median as if it had this many median words more.
 PRIOR_WORDS = 20
 #: Width of the bands beyond the quartiles, in interquartile ranges.
@@ -109,51 +110,31 @@ def gram_counts(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def train(rows: DataFrame) -> dict[str, ngrams.Model]:
-    """A model for each language, and one of all of them under POOLED. What comes to the driver is at most CODES ** ORDER grams a language, however large the corpus."""
-    counts = gram_counts(rows).toArrow()
-    langs = np.array(counts["lang"].to_pylist(), dtype=object)
-    gram, n = np.asarray(counts["gram"], dtype=np.int64), np.asarray(counts["n"], dtype=np.int64)
-    models = {lang: ngrams.train(gram[langs == lang], n[langs == lang]) for lang in sorted(set(langs))}
-    if models:
-        pooled, back = np.unique(gram, return_inverse=True)
-        models[POOLED] = ngrams.train(pooled, np.bincount(back, n))
-    return models
-
-
-def scored(rows: DataFrame, models: dict[str, ngrams.Model]) -> DataFrame:
-    """The counts of each document, and its log perplexity for each code with the number of codes."""
-    shared = rows.sparkSession.sparkContext.broadcast(models)
+def scored(rows: DataFrame) -> DataFrame:
+    """The counts of each document, and its log perplexity for each character with the number of characters."""
+    parts = charmodel.dealt(rows)
+    counts = charmodel.written(charmodel.counted(parts), "counts")
+    asked = charmodel.answers(counts, charmodel.scored_grams(counts))
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
 
-    def run(batches):
-        known: dict[str, dict] = defaultdict(dict)
-        for batch in slices(batches):
-            langs, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            split = [utf8(t).split() for t in texts]
-            missing: dict[str, set] = defaultdict(set)
-            for lang, words in zip(langs, split):
-                missing[lang].update(words)
-            if sum(map(len, known.values())) > WORDS_HELD:
-                known.clear()
-            for lang, words in missing.items():
-                new = [w for w in words if w not in known[lang]]
-                for at in range(0, len(new), 50_000):
-                    part = new[at : at + 50_000]
-                    gram, owner = ngrams.grams_of([w.decode("utf-8", "surrogatepass") for w in part])
-                    own, pooled = (np.bincount(owner, shared.value[m].log_probability(gram), len(part)) for m in (lang, POOLED))
-                    logs = np.logaddexp(np.log(1 - FOREIGN) + own, np.log(FOREIGN) + pooled)
-                    known[lang].update(zip(part, logs.tolist()))
-            rows = []
-            for doc_id, lang, text, words in zip(batch.column(0).to_pylist(), langs, texts, split):
-                text = text or ""
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        held = [b for p in packed.column("packed") for b in charmodel.unpacked(p.as_py())]
+        ids = [i for b in held for i in b.column(0).to_pylist()]
+        texts = [t or "" for b in held for t in b.column(2).to_pylist()]
+        rows = [None] * len(ids)
+        for lang, at in charmodel.by_language(held).items():
+            split = [utf8(texts[i]).split() for i in at]
+            mine = answers.filter(pc.equal(answers["lang"], lang))
+            logs = np.stack([mine[c].to_numpy() for c in ("own0", "own1", "all0", "all1")])
+            total = charmodel.word_logs(split, np.array([charmodel.fold_of(texts[i]) for i in at]), mine["gram"].to_pylist(), logs, FOREIGN)
+            for i, words, value in zip(at, split, total.tolist()):
+                text = texts[i]
                 chars = len(text) - sum(map(text.count, _WHITE))
-                value = -sum(map(known[lang].__getitem__, words)) / (chars + len(words)) if words else None
-                rows.append((doc_id, lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), value))
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(len(names))], names=names)
+                rows[i] = (ids[i], lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), -value / (chars + len(words)) if words else None)
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(len(names))], names=names)
 
-    return rows.mapInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -168,10 +149,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     """
     langs = _languages(docs, lang_col)
     rows = _named(docs, langs, id_col, lang_col, text_col)
-    models = train(rows)
     part, whole = MOST_REPEATED
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * whole > F.col("n_words") * part)
-    out = materialize(scored(rows, models).withColumn("base_failed", failed), "scores")
+    out = materialize(scored(rows).withColumn("base_failed", failed), "scores")
     passing = out.filter("not base_failed")
     middle = passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", F.lit(0.5), F.lit(10_000)).alias("median"))
     drawn = (F.col("log_perplexity") * F.col("n_words") + F.col("median") * PRIOR_WORDS) / (F.col("n_words") + PRIOR_WORDS)

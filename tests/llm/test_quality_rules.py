@@ -77,3 +77,47 @@ def test_strange_text_is_rejected_and_plain_text_kept(spark):
     rows = [(i, " ".join(word() for _ in range(120)), "en", "a") for i in range(300)] + [(1000 + i, " ".join("".join(draw.choice("QXZJVKW#%") for _ in range(8)) for _ in range(120)), "en", "a") for i in range(6)]
     kept = {r.doc_id: r.kept for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
     assert not any(kept[1000 + i] for i in range(6)) and sum(kept[i] for i in range(300)) >= 297
+
+
+def test_word_order_and_every_script_count(spark):
+    draw = random.Random(9)
+    chain = {c: draw.sample(range(40), 3) for c in range(40)}
+    scripts = {"en": lambda c: f"{chr(97 + c % 26)}{c}w{chr(97 + c % 7)}", "ru": lambda c: chr(0x430 + c % 32) + chr(0x430 + c * 7 % 32) + chr(0x451), "zh": lambda c: chr(0x4E00 + 12 * c) + chr(0x5E00 + 12 * c)}
+    rows, pairs = [], []
+    for lang, name in scripts.items():
+        for i in range(120):
+            at, words = draw.randrange(40), []
+            for _ in range(150):
+                words.append(name(at))
+                at = draw.choice(chain[at])
+            rows.append((len(rows), " ".join(words), lang, "a"))
+            if i < 5:
+                draw.shuffle(words)
+                rows.append((len(rows), " ".join(words), lang, "a"))
+                pairs.append((len(rows) - 2, len(rows) - 1))
+    got = {r.doc_id: r.perplexity for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert all(got[shuffled] > 1.1 * fluent for fluent, shuffled in ((got[a], b) for a, b in pairs))
+
+
+def test_grams_equal_plain_counts_and_probabilities_sum_to_one(spark):
+    from almanac.llm import charmodel
+
+    rows = quality_rules._named(docs(spark), ["en"], "doc_id", "lang", "text")
+    counts = charmodel.counted(charmodel.dealt(rows)).cache()
+    want = Counter()
+    for _, text, lang, _ in DOCS:
+        before, fold = "", charmodel.fold_of(text or "")
+        for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+            line = ((charmodel.PAD + before + " ") if before else charmodel.PAD)[-4:] + word + " "
+            want.update(("en" if lang == "en" else "other", line[i : i + 5], fold) for i in range(len(line) - 4))
+            before = word
+    got = Counter()
+    for r in counts.collect():
+        got.update({(r.lang, r.gram, 0): r.n0, (r.lang, r.gram, 1): r.n1})
+    assert +got == want
+    sums = {}
+    for r in charmodel.scored_grams(counts).collect():
+        assert 0 < r.p0 <= 1 and 0 < r.p1 <= 1
+        for f, p in enumerate((r.p0, r.p1)):
+            sums[r.model, r.gram[:4], f] = sums.get((r.model, r.gram[:4], f), 0) + p
+    assert max(sums.values()) < 1 + 1e-4
