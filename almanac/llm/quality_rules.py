@@ -19,8 +19,7 @@ from almanac.llm.common import materialize, slices, utf8
 
 #: Words of all languages whose counts or scores one worker holds, give or take a batch.
 WORDS_HELD = 400_000
-#: Languages with models and bands of their own; the rest share one.
-LANGUAGES = 32
+#: The language of documents that name none.
 OTHER = "other"
 #: The part of its words that a document of one language is expected to hold in others.
 FOREIGN = 0.2
@@ -70,14 +69,11 @@ def repeated_lines(text: str) -> int:
     return len(worded) - len(set(worded))
 
 
-def _languages(docs: DataFrame, lang_col: str) -> list[str]:
-    top = docs.groupBy(F.col(lang_col).cast("string").alias("lang")).count().filter("lang is not null").orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    return [r.lang for r in top]
-
-
-def _named(docs: DataFrame, langs: list[str], id_col: str, lang_col: str, text_col: str) -> DataFrame:
+def _named(docs: DataFrame, langs: list[str] | None, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    """``doc_id, lang, text``; a null language is OTHER, and so are those not in ``langs`` where it is given."""
     lang = F.col(lang_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.when(lang.isin(langs), lang).otherwise(F.lit(OTHER)).alias("lang"), F.col(text_col).cast("string").alias("text"))
+    named = F.coalesce(lang, F.lit(OTHER)) if langs is None else F.when(lang.isin(langs), lang).otherwise(F.lit(OTHER))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), named.alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
 def gram_counts(rows: DataFrame) -> DataFrame:
@@ -147,19 +143,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     empty texts have no words, fail, and have no perplexity. A null language counts as ``other``. Null ids and
     repeated rows give a row each; an empty table gives no rows; other columns are not read.
     """
-    langs = _languages(docs, lang_col)
-    rows = _named(docs, langs, id_col, lang_col, text_col)
+    rows = _named(docs, None, id_col, lang_col, text_col)
     part, whole = MOST_REPEATED
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * whole > F.col("n_words") * part)
     out = materialize(scored(rows).withColumn("base_failed", failed), "scores")
     passing = out.filter("not base_failed")
     middle = passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", F.lit(0.5), F.lit(10_000)).alias("median"))
     drawn = (F.col("log_perplexity") * F.col("n_words") + F.col("median") * PRIOR_WORDS) / (F.col("n_words") + PRIOR_WORDS)
-    placed = out.join(F.broadcast(middle), "lang", "left").withColumn("drawn", drawn)
+    placed = out.join(middle, "lang", "left").withColumn("drawn", drawn)
     quartiles = placed.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("drawn", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
     reach = F.col("q")[1] - F.col("q")[0]
     bands = quartiles.select("lang", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("drawn").between(F.col("low"), F.col("high")), F.lit(False))
-    return placed.join(F.broadcast(bands), "lang", "left").select(
+    return placed.join(bands, "lang", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"), "drawn", "lang", "low", "high"
     )

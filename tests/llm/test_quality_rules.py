@@ -121,3 +121,9 @@ def test_grams_equal_plain_counts_and_probabilities_sum_to_one(spark):
         for f, p in enumerate((r.p0, r.p1)):
             sums[r.model, r.gram[:4], f] = sums.get((r.model, r.gram[:4], f), 0) + p
     assert max(sums.values()) < 1 + 1e-4
+
+
+def test_every_language_has_its_own_band(spark):
+    rows = [(i, f"w{i % 7} a b c d e f g h i j k l m n o p", f"l{i % 40:02}", "a") for i in range(200)]
+    out = quality_rules.quality_rules(docs(spark, rows))
+    assert {r.lang for r in out.select("lang").distinct().collect()} == {f"l{i:02}" for i in range(40)}
