@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from almanac.llm.common import new_path, slices, utf8
 
-ORDER = 5
+ORDER = 4
 PAD = " " * (ORDER - 1)
 #: Characters of text in one part of the documents: a part asks for its grams once.
 PART_CHARS = 8_000_000

@@ -8,6 +8,7 @@ documents whose log perplexity lies outside the band of their language are rejec
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +24,10 @@ WORDS_HELD = 400_000
 OTHER = "other"
 #: The part of its words that a document of one language is expected to hold in others.
 FOREIGN = 0.2
-#: A document's log perplexity is drawn to its language's median as if it had this many median words more.
-PRIOR_WORDS = 20
 #: Width of the bands beyond the quartiles, in interquartile ranges.
 BELOW, ABOVE = 3.5, 3.5
+#: Interquartile range of the normal distribution.
+NORMAL = 1.349
 #: Limits of the counting rules.
 LEAST_WORDS, MOST_REPEATED = 10, (20, 100)
 _WHITE = " \t\n\x0b\x0c\r"
@@ -111,7 +112,7 @@ def scored(rows: DataFrame) -> DataFrame:
     parts = charmodel.dealt(rows)
     counts = charmodel.written(charmodel.counted(parts), "counts")
     asked = charmodel.answers(counts, charmodel.scored_grams(counts))
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity"]
+    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "copy"]
 
     def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
         held = [b for p in packed.column("packed") for b in charmodel.unpacked(p.as_py())]
@@ -126,11 +127,11 @@ def scored(rows: DataFrame) -> DataFrame:
             for i, words, value in zip(at, split, total.tolist()):
                 text = texts[i]
                 chars = len(text) - sum(map(text.count, _WHITE))
-                rows[i] = (ids[i], lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), -value / (chars + len(words)) if words else None)
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
+                rows[i] = (ids[i], lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), -value / (chars + len(words)) if words else None, int.from_bytes(blake2b(utf8(text), digest_size=8).digest(), "big", signed=True))
+        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
         return pa.Table.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(len(names))], names=names)
 
-    return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double")
+    return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, copy long")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -138,8 +139,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
 
     ``base_failed``: fewer than LEAST_WORDS words, or over a fifth of the words in repeated windows.
     ``kept``: not base_failed, and log perplexity within the band of the language.
-    Bands come from the quartiles of the documents that pass the counting rules: BELOW and ABOVE
-    interquartile ranges beyond them; a language whose quartiles coincide rejects only what lies outside that one value. Null and
+    Bands come from the quartiles of the distinct texts that pass the counting rules, of the distance to the
+    language's median in standard deviations expected at the document's length: BELOW and ABOVE interquartile ranges beyond them; a language whose quartiles coincide rejects only what lies outside that one value. Null and
     empty texts have no words, fail, and have no perplexity. A null language counts as ``other``. Null ids and
     repeated rows give a row each; an empty table gives no rows; other columns are not read.
     """
@@ -148,10 +149,23 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * whole > F.col("n_words") * part)
     out = materialize(scored(rows).withColumn("base_failed", failed), "scores")
     passing = out.filter("not base_failed")
-    middle = passing.groupBy("lang").agg(F.percentile_approx("log_perplexity", F.lit(0.5), F.lit(10_000)).alias("median"))
-    drawn = (F.col("log_perplexity") * F.col("n_words") + F.col("median") * PRIOR_WORDS) / (F.col("n_words") + PRIOR_WORDS)
-    placed = out.join(middle, "lang", "left").withColumn("drawn", drawn)
-    quartiles = placed.filter("not base_failed").groupBy("lang").agg(F.percentile_approx("drawn", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
+    # Each distinct passage counts once.
+    passing = passing.dropDuplicates(["lang", "copy"])
+    quarter = lambda c, *q: F.percentile_approx(c, F.array(*map(F.lit, q)), F.lit(10_000))
+    middle = passing.groupBy("lang").agg(quarter("log_perplexity", 0.5)[0].alias("median"), quarter("n_words", 0.5)[0].alias("usual"))
+    # Variance at n words is fixed + by_word / n, from the quartiles of the shorter and the longer half.
+    halves = passing.join(middle, "lang").groupBy("lang", (F.col("n_words") > F.col("usual")).alias("long")).agg(quarter("log_perplexity", 0.25, 0.75).alias("h"), F.avg(1 / F.col("n_words")).alias("inverse"))
+    spread = F.pow((F.col("h")[1] - F.col("h")[0]) / NORMAL, 2)
+    side = lambda c, long: F.max(F.when(F.col("long") == long, c))
+    sides = halves.groupBy("lang").agg(side(spread, False).alias("v_short"), side(spread, True).alias("v_long"), side(F.col("inverse"), False).alias("i_short"), side(F.col("inverse"), True).alias("i_long"))
+    slope = F.greatest(F.lit(0.0), (F.col("v_short") - F.col("v_long")) / (F.col("i_short") - F.col("i_long")))
+    by_word = F.least(F.coalesce(slope, F.lit(0.0)), F.coalesce(F.col("v_long") / F.col("i_long"), F.lit(0.0)))
+    fixed = F.coalesce(F.col("v_long") - by_word * F.col("i_long"), F.col("v_short"))
+    shape = middle.join(sides.select("lang", by_word.alias("by_word"), fixed.alias("fixed")), "lang")
+    expected = F.sqrt(F.col("fixed") + F.col("by_word") / F.col("n_words"))
+    away = F.col("log_perplexity") - F.col("median")
+    placed = out.join(shape, "lang", "left").withColumn("drawn", F.when(expected > 0, away / expected).otherwise(away))
+    quartiles = placed.filter("not base_failed").dropDuplicates(["lang", "copy"]).groupBy("lang").agg(quarter("drawn", 0.25, 0.75).alias("q"))
     reach = F.col("q")[1] - F.col("q")[0]
     bands = quartiles.select("lang", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("drawn").between(F.col("low"), F.col("high")), F.lit(False))

@@ -108,8 +108,8 @@ def test_grams_equal_plain_counts_and_probabilities_sum_to_one(spark):
     for _, text, lang, _ in DOCS:
         before, fold = "", charmodel.fold_of(text or "")
         for word in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
-            line = ((charmodel.PAD + before + " ") if before else charmodel.PAD)[-4:] + word + " "
-            want.update(("en" if lang == "en" else "other", line[i : i + 5], fold) for i in range(len(line) - 4))
+            line = ((charmodel.PAD + before + " ") if before else charmodel.PAD)[-len(charmodel.PAD) :] + word + " "
+            want.update(("en" if lang == "en" else "other", line[i : i + charmodel.ORDER], fold) for i in range(len(line) - charmodel.ORDER + 1))
             before = word
     got = Counter()
     for r in counts.collect():
@@ -119,7 +119,7 @@ def test_grams_equal_plain_counts_and_probabilities_sum_to_one(spark):
     for r in charmodel.scored_grams(counts).collect():
         assert 0 < r.p0 <= 1 and 0 < r.p1 <= 1
         for f, p in enumerate((r.p0, r.p1)):
-            sums[r.model, r.gram[:4], f] = sums.get((r.model, r.gram[:4], f), 0) + p
+            sums[r.model, r.gram[:-1], f] = sums.get((r.model, r.gram[:-1], f), 0) + p
     assert max(sums.values()) < 1 + 1e-4
 
 
