@@ -1,17 +1,17 @@
 """Near-duplicate classes by an inverted join on MinHash signature coordinates.
 
-Documents with the same set of word shingles are one node. A node's signature has
-COORDINATES minima. It is posted under each of POSTED coordinate values, a coordinate of the
-index being RUN minima read together, so that a list holds nodes that agree on all of
-them. Lists are joined through their hub, the smallest node: nobody lists
-the pairs of a list. Coordinates in which a node and a hub collide are counted
-over the whole signature, pairs with at least MATCHES are confirmed on full sets, and the
-confirmed ones merged. In lists whose other members are still in several components these are
-then compared in blocks, and what is close is confirmed on full sets too; pairs that are connected
-already are skipped. So no link between posted nodes is left out, however long a list is.
-
-Two texts with similarity 0.8 share no list once in 2e7 pairs, and have fewer than
-MATCHES collisions once in 3e6.
+Documents with the same set of word shingles are one node. A node's signature has COORDINATES
+minima; a coordinate and its value are a token, and nodes with at least MATCHES tokens in common are candidates.
+Prefix: tokens are ordered from rare to frequent, and a node is posted only under its first COORDINATES - MATCHES + 1.
+Two candidates always meet under one of these; a node whose prefix holds only tokens of its own has no candidate at all.
+Merging: the lists of a node are joined through their hubs, the members whose tokens are the most frequent,
+so nobody lists the pairs of a list. Skip: the tokens outside the prefix are read from the two signatures
+only when a pair has met. Pairs that collide in MATCHES coordinates are confirmed on full sets and merged.
+In a list whose members, hub aside, still are of several components, those outside its largest component are
+compared with all others in blocks, and what is close is confirmed on full sets too; pairs that are
+connected already are skipped. So no link between candidates is left out, however long a list is.
+
+Two texts with similarity 0.8 have fewer than MATCHES collisions once in 200,000 pairs, others less often.
 """
 
 from __future__ import annotations
@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, functions as F
 from almanac.llm.common import materialize, slices, utf8
 from almanac.operators.graph import components
 
-RUN, POSTED = 4, 32
-COORDINATES = RUN * POSTED
-MATCHES = 80
-#: Members of a list that one block holds, and the error allowed for 32-bit hashes when blocks are compared.
-BLOCK_ROWS, GRAIN_SLACK = 256, 0.005
+COORDINATES, MATCHES = 64, 36
+#: Bytes of 32-bit sets in one block of a list, of the members outside its largest component and of all; rows of a block compared at once.
+REST_BYTES, BLOCK_BYTES, TILE = 4 << 20, 8 << 20, (256, 1024)
+#: The error allowed for 32-bit hashes when blocks are compared.
+GRAIN_SLACK = 0.005
 #: Words whose hashes a worker remembers.
 CACHE_ENTRIES = 500_000
 
@@ -79,78 +79,80 @@ def signature(found: np.ndarray) -> np.ndarray:
     return least
 
 
-def posted(least: np.ndarray) -> np.ndarray:
-    """The index values of a signature, each of RUN minima and the place of the coordinate."""
-    runs = least.reshape(POSTED, RUN)
-    value = np.arange(1, POSTED + 1, dtype=np.uint64)
-    for j in range(RUN):
-        value = _mixed(value * np.uint64(0x9E3779B97F4A7C15) + runs[:, j])
-    return value.astype(np.int64)
-
-
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, node, posts, marks`` per row; the last three are null for an empty set. ``marks`` has a byte for each minimum."""
+    """``doc_id, n_shingles, node, marks`` per row; the last two are null for an empty set. ``marks`` has 32 bits of each minimum."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for batch in slices(batches):
-            sizes, nodes, posts, marks = [], [], [], []
+            sizes, nodes, marks = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, words)
                 sizes.append(len(found))
-                if len(found):
-                    least = signature(found)
-                    nodes.append(node_of(found))
-                    posts.append(posted(least))
-                    marks.append((_mixed(least) & np.uint64(255)).astype(np.uint8).tobytes())
-                else:
-                    nodes.append(None)
-                    posts.append(None)
-                    marks.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(posts, pa.list_(pa.int64())), pa.array(marks, pa.binary())], names=["doc_id", "n_shingles", "node", "posts", "marks"])
+                nodes.append(node_of(found) if len(found) else None)
+                marks.append((_mixed(signature(found)) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "marks"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, posts array<long>, marks binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, marks array<int>")
 
 
-def _colliding(pairs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose signatures collide in MATCHES coordinates at least."""
-    both = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "ma", "mb")
+def prefixes(nodes: DataFrame) -> DataFrame:
+    """``node, tokens, weight`` of the nodes that may have a candidate: the tokens of the prefix that other nodes have too, and how frequent all its tokens are.
+
+    A token is the coordinate and 32 bits of its value. ``n`` orders tokens from rare to frequent, the token itself breaks ties.
+    """
+    tokens = nodes.select("node", F.posexplode("marks").alias("i", "v")).select("node", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("v").cast("long").bitwiseAND((1 << 32) - 1)).alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # A node has at most COORDINATES rows here.
+    own = tokens.join(shared, "token").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("held"), F.sum("n").alias("weight"))
+    return own.filter(F.size("held") >= MATCHES).select("node", F.slice("held", F.lit(1), F.size("held") - (MATCHES - 1)).getField("token").alias("tokens"), "weight")
+
+
+def _colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` whose signatures collide in MATCHES coordinates at least, with ``met``."""
+    both = pairs.join(nodes.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(nodes.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b").select("a", "b", "met", "ma", "mb")
 
     def run(batches):
         for batch in slices(batches):
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, COORDINATES) for c in ("ma", "mb"))
-                keep = (x == y).sum(axis=1) >= MATCHES
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+                x, y = (batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES) for c in ("ma", "mb"))
+                keep = pa.array((x == y).sum(axis=1) >= MATCHES)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "met")], names=["a", "b", "met"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long, met long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs that reach the similarity on full sets."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    part, whole = similarity
+def _sets(nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """``node, full, grains``: the sorted 64-bit shingle hashes of each of ``node, rep``, and their distinct 32-bit halves."""
+    # An id may come with several texts; the one wanted has the node's set.
+    own = nodes.select("node", "rep").join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep").select("node", "text")
 
     def run(batches):
-        last: dict[int, np.ndarray] = {}
-
-        def full(node: int, text: str) -> np.ndarray:
-            if node not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[node] = shingles(text, words)
-            return last[node]
-
         for batch in slices(batches):
             out = []
-            for a, b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))):
-                x, y = full(a, ta), full(b, tb)
-                if whole * min(len(x), len(y)) < part * max(len(x), len(y)):
-                    continue
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if whole * shared >= part * (len(x) + len(y) - shared):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = shingles(text, words)
+                if len(found) and node_of(found) == node:
+                    out.append((node, found.tobytes(), np.unique(found.astype(np.uint32)).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "full", "grains"])
+
+    return own.mapInArrow(run, "node long, full binary, grains binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs that reach the similarity on full sets."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("full").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("full").alias("y")), "b").select("a", "b", "x", "y")
+    part, whole = similarity
+
+    def run(batches):
+        for batch in slices(batches, 200):
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                near = whole * min(len(x), len(y)) >= part * max(len(x), len(y))
+                shared = len(np.intersect1d(x, y, assume_unique=True)) if near else 0
+                keep.append(near and whole * shared >= part * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -161,41 +163,29 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
 
 
-def _packed(texts: DataFrame, words: int) -> DataFrame:
-    """``node, grains``: the sorted distinct 32-bit halves of the shingle hashes."""
+def _close_pairs(rest: list[tuple], others: list[tuple], least: float, root: dict[int, int]) -> list[tuple[int, int]]:
+    """Pairs of ``(node, label, grains)`` of both lists with other labels and a similarity of ``least`` on 32-bit hashes, less GRAIN_SLACK.
 
-    def run(batches):
-        for batch in slices(batches):
-            grains = [np.unique(shingles(t, words).astype(np.uint32)).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grains, pa.binary())], names=["node", "grains"])
-
-    return texts.select("node", "text").mapInArrow(run, "node long, grains binary")
-
-
-def _close_pairs(nodes: list[int], labels: list[int], parts: list[int], grains: list[bytes], across: bool, least: float) -> list[tuple[int, int]]:
-    """Pairs of a block with other labels and a similarity of ``least`` on 32-bit hashes, less GRAIN_SLACK; of pairs surely above it only those that connect something new.
-
-    ``across``: only pairs of two parts.
+    Of pairs surely above it only those that connect something new: ``root`` has the labels that are known to be connected.
     """
-    sets = [np.frombuffer(g, np.uint32) for g in grains]
+    sets = [np.frombuffer(r[2], np.uint32) for r in (*rest, *others)]
     sizes = np.array([len(x) for x in sets], np.float64)
-    n = len(sets)
+    n, all_ = len(rest), len(sets)
     values, column = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    owner = np.repeat(np.arange(all_), sizes.astype(np.int64))
     shared = np.bincount(column)[column] > 1  # what only one member has is in no intersection
     owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    width = column[-1] + 1 if len(column) else 0
-    for at in range(0, int(width), 4096):
+    both = np.zeros((n, all_ - n), np.float32)
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, 4096):
         a, b = np.searchsorted(column, [at, at + 4096])
-        dense = np.zeros((n, min(4096, int(width) - at)), np.float32)
+        dense = np.zeros((all_, min(4096, width - at)), np.float32)
         dense[owner[a:b], column[a:b] - at] = 1
-        both += dense @ dense.T
-    similar = both / np.maximum(sizes[:, None] + sizes[None, :] - both, 1)
-    x, y = np.nonzero(np.triu(similar >= least - GRAIN_SLACK, 1))
-    root: dict[int, int] = {}
+        both += dense[:n] @ dense[n:].T
+    similar = both / np.maximum(sizes[:n, None] + sizes[None, n:] - both, 1)
+    x, y = np.nonzero(similar >= least - GRAIN_SLACK)
 
     def find(v: int) -> int:
         while root.get(v, v) != v:
@@ -204,39 +194,47 @@ def _close_pairs(nodes: list[int], labels: list[int], parts: list[int], grains:
 
     found = []
     for i, j in sorted(zip(x.tolist(), y.tolist()), key=lambda p: -similar[p]):
-        if across and parts[i] == parts[j]:
-            continue
-        u, v = find(labels[i]), find(labels[j])
+        u, v = find(rest[i][1]), find(others[j][1])
         if u != v:
-            found.append((nodes[i], nodes[j]))
+            found.append((rest[i][0], others[j][0]))
             if similar[i, j] >= least + GRAIN_SLACK:
                 root[max(u, v)] = min(u, v)
     return found
 
 
 def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Close pairs ``a, b`` of the members ``post, node, label, parts`` of lists, block against block: no pair becomes a row unless it is close."""
-    own = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
-    blocks = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("post", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "node", "label", "part", "grains")
-    ordered = blocks.repartition("post", "i", "j").sortWithinPartitions("post", "i", "j")
+    """Close pairs ``a, b`` of the members ``token, node, label, top, n_rest, n_all`` of lists: those whose label is not the list's ``top`` against all others.
+
+    Each kind is dealt into blocks of bounded bytes; a block of one meets a block of the other in one task, and no pair becomes a row unless it is close.
+    """
+    own = members.join(sets.select("node", "grains"), "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rest = own.filter("label <> top").select("token", deal(F.col("n_rest")).alias("i"), every("n_all").alias("j"), F.lit(0).alias("kind"), "node", "label", "grains")
+    others = own.select("token", every("n_rest").alias("i"), deal(F.col("n_all")).alias("j"), F.lit(1).alias("kind"), "node", "label", "grains")
+    ordered = rest.unionByName(others).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "kind")
 
     def run(batches):
-        key, rows = None, []
+        key, rest, others, root = None, [], [], {}
 
-        def flush():
-            if len(rows) > 1 and len({r[4] for r in rows}) > 1:
-                found = _close_pairs([r[3] for r in rows], [r[4] for r in rows], [r[5] for r in rows], [r[6] for r in rows], key[1] != key[2], least)
-                return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def pairs():
+            found = []
+            if rest and others:
+                for at in range(0, len(rest), TILE[0]):
+                    found += _close_pairs(rest[at : at + TILE[0]], others, least, root)
+            others.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != key:
-                    if (out := flush()) is not None:
-                        yield out
-                    key, rows = row[:3], []
-                rows.append(row)
-        if (out := flush()) is not None:
-            yield out
+                    yield pairs()
+                    key, root = row[:3], {}
+                    rest.clear()
+                (others if row[3] else rest).append(row[4:])
+                if len(others) == TILE[1]:
+                    yield pairs()
+        yield pairs()
 
     pairs = ordered.mapInArrow(run, "a long, b long")
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -257,48 +255,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     if part * 10 < whole * 8:
         raise ValueError("signatures are laid out for similarities of 0.8 or more")
     rows = materialize(sketch(docs, words, id_col, text_col), "sketch")
-    nodes = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("posts").alias("posts"), F.first("marks").alias("marks")), "nodes")
-    posts = nodes.select("node", F.explode("posts").alias("post"))
-    lists = posts.groupBy("post").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    held = materialize(posts.join(lists, "post"), "lists")  # members of lists of two or more
-    star = held.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    marks = nodes.select("node", "marks")
-    close = materialize(_colliding(star, marks), "close")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.select("node", "rep").join(ends, "node", "left_semi")
-        # An id may come with several texts; the one wanted has the node's set.
-        own = wanted.join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep").select("node", "text")
-
-        def run(batches):
-            for batch in slices(batches):
-                same = [node == node_of(shingles(text, words)) for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield batch.filter(pa.array(same, pa.bool_()))
-
-        return materialize(own.mapInArrow(run, "node long, text string").dropDuplicates(["node"]), "texts")
-
-    texts = texts_of(close)
-    first = close.groupBy("a").agg(F.min("b").alias("b"))
-    links = materialize(_confirmed(first, texts, words, similarity), "links")
+    every = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("marks").alias("marks")), "nodes")
+    nodes = materialize(every.join(prefixes(every), "node"), "prefixes")
+    posts = nodes.select(F.explode("tokens").alias("token"), "node", "weight")
+    lists = posts.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    held = materialize(posts.drop("weight").join(lists, "token").filter("node <> hub"), "lists")
+    star = held.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+    close = materialize(_colliding(star, nodes), "close")
+    sets = materialize(_sets(nodes, docs, words, id_col, text_col), "sets")
+    # The hub met in most lists first; others only where that leaves nodes apart.
+    first = close.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
+    links = materialize(_confirmed(first, sets, similarity), "links")
     labels = components(links)
-    more = materialize(_confirmed(_apart(close, labels).join(first, ["a", "b"], "left_anti"), texts, words, similarity), "links")
+    more = materialize(_confirmed(_apart(close, labels).join(first, ["a", "b"], "left_anti"), sets, similarity), "links")
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = components(links)
 
-    # Lists whose members, hub aside, are still in several components: these members against each other.
-    placed = held.filter(F.col("node") != F.col("hub")).select("post", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parted = placed.groupBy("post").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count(F.lit(1)).alias("n")).filter("l0 <> l1").select("post", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("parts"))
-    members = materialize(placed.join(parted, "post"), "parted")
+    # Lists whose members, hub aside, are still in several components.
+    placed = held.select("token", "node").join(labels, "node", "left").join(nodes.select("node", "size"), "node").select("token", "node", F.coalesce("label", "node").alias("label"), "size")
+    by_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), (4 * F.sum("size")).alias("bytes"))
+    parted = by_label.groupBy("token").agg(F.max_by(F.struct("label", "bytes"), F.struct("n", "label")).alias("most"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda b, size: F.ceil(b / size).cast("int")
+    parted = parted.select("token", F.col("most.label").alias("top"), blocks(F.col("bytes") - F.col("most.bytes"), REST_BYTES).alias("n_rest"), blocks(F.col("bytes"), BLOCK_BYTES).alias("n_all"))
+    members = materialize(placed.drop("size").join(parted, "token"), "parted")
     if members.limit(1).count():
-        sets = materialize(_packed(texts_of(members.select(F.col("node").alias("a"), F.col("node").alias("b"))), words), "sets")
         near = materialize(_compared(members, sets, part / whole), "near")
-        more = materialize(_confirmed(near, texts_of(near), words, similarity), "links")
+        more = materialize(_confirmed(near, sets, similarity), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))
 
-    named = nodes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = every.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # Written first: the join's sides are then dealt by it alone, and Spark can split a large component.
     smallest = materialize(named.groupBy("label").agg(F.min("rep").alias("component_id")), "smallest")
     answer = materialize(named.join(smallest, "label").select("node", "component_id"), "answers")

@@ -80,7 +80,8 @@ def test_chains_and_groups(spark, words):
 def test_blocks_find_what_pairs_find():
     draw = random.Random(2)
     sets = [np.unique(np.array([draw.randint(0, 400) for _ in range(draw.randint(1, 60))], np.uint32)) for _ in range(60)] + [np.arange(50, dtype=np.uint32) + k for k in range(8)]
-    found = minhash._close_pairs(list(range(len(sets))), list(range(len(sets))), [0] * len(sets), [s.tobytes() for s in sets], False, 0.8)
+    rows = [(i, i, s.tobytes()) for i, s in enumerate(sets)]
+    found = minhash._close_pairs(rows, rows, 0.8, {})
     for a, b in found:
         inter = len(np.intersect1d(sets[a], sets[b]))
         assert inter / (len(sets[a]) + len(sets[b]) - inter) >= 0.79
@@ -103,3 +104,51 @@ def test_blocks_find_what_pairs_find():
 def test_threshold_is_checked(spark):
     with pytest.raises(ValueError):
         minhash.near_duplicates(docs(spark), 2, (70, 100))
+
+
+def test_prefixes_leave_no_candidate_out(spark):
+    """Nodes with MATCHES tokens in common share a posted token, and nodes without such a partner may be left out."""
+    draw = np.random.default_rng(4)
+    marks = draw.integers(-3, 3, (12, minhash.COORDINATES)).repeat(20, axis=0)
+    change = draw.random(marks.shape) < np.linspace(0, 0.6, len(marks))[:, None]
+    marks[change] = draw.integers(-(1 << 31), 1 << 31, int(change.sum()))
+    frame = spark.createDataFrame([(i, m) for i, m in enumerate(marks.tolist())], "node long, marks array<int>")
+    posted = {r.node: set(r.tokens) for r in minhash.prefixes(frame).collect()}
+    assert all(len(t) <= minhash.COORDINATES - minhash.MATCHES + 1 for t in posted.values()) and len(posted) < len(marks)
+    for a in range(len(marks)):
+        for b in range(a):
+            if (marks[a] == marks[b]).sum() >= minhash.MATCHES:
+                assert posted[a] & posted[b]
+
+
+def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
+    """A group twice as large has less than 2.5 times the rows in lists and blocks."""
+    draw = random.Random(8)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [draw.choice(vocab) for _ in range(100)]
+
+    def made(n):
+        counts, plain, compared = [], minhash.materialize, minhash._compared
+
+        def counted(df, name):
+            out = plain(df, name)
+            counts.append(out.count())
+            return out
+
+        def blocks(members, sets, least):
+            counts.append(members.agg({"n_rest": "sum", "n_all": "sum"}).collect()[0][0] or 0)
+            return compared(members, sets, least)
+
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for _ in range(draw.randint(0, 25)):
+                w[draw.randrange(len(w))] = draw.choice(vocab)
+            rows.append((i, " ".join(w), "en", "a"))
+        with monkeypatch.context() as patch:
+            patch.setattr(minhash, "materialize", counted)
+            patch.setattr(minhash, "_compared", blocks)
+            minhash.near_duplicates(docs(spark, rows), 2).collect()
+        return sum(counts)
+
+    assert made(800) < 2.5 * made(400)
