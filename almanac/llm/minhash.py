@@ -1,15 +1,17 @@
 """Near-duplicate classes by an inverted join on MinHash signature coordinates.
 
-Documents with the same set of word shingles are one node. A node's signature has COORDINATES
-minima; a coordinate and its value are a token, and nodes with at least MATCHES tokens in common are candidates.
+Documents with the same set of word shingles are one node. A node's signature has COORDINATES coordinates, each
+of RUN minima read together; a coordinate and its value are a token, and nodes with at least MATCHES tokens in
+common are candidates. (One minimum alone is often that of a frequent shingle, and the more so the larger the corpus.)
 Prefix: tokens are ordered from rare to frequent, and a node is posted only under its first COORDINATES - MATCHES + 1.
 Two candidates always meet under one of these; a node whose prefix holds only tokens of its own has no candidate at all.
 Merging: the lists of a node are joined through their hubs, the members whose tokens are the most frequent,
 so nobody lists the pairs of a list. Skip: the tokens outside the prefix are read from the two signatures
 only when a pair has met. Pairs that collide in MATCHES coordinates are confirmed on full sets and merged.
 In a list whose members, hub aside, still are of several components, those outside its largest component are
-compared with all others in blocks, and what is close is confirmed on full sets too; pairs that are
-connected already are skipped. So no link between candidates is left out, however long a list is.
+compared with all others in blocks, first by signatures, which leaves members that collide with one of another component,
+then by sets, and what is close is confirmed on full sets too; pairs that are connected already
+are skipped. So no link between candidates is left out, however long a list is.
 
 Two texts with similarity 0.8 have fewer than MATCHES collisions once in 200,000 pairs, others less often.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 from almanac.llm.common import materialize, slices, utf8
 from almanac.operators.graph import components
 
-COORDINATES, MATCHES = 64, 36
+RUN, COORDINATES, MATCHES = 2, 64, 24
 #: Bytes of 32-bit sets in one block of a list, of the members outside its largest component and of all; rows of a block compared at once.
 REST_BYTES, BLOCK_BYTES, TILE = 4 << 20, 8 << 20, (256, 1024)
 #: The error allowed for 32-bit hashes when blocks are compared.
@@ -32,7 +34,7 @@ GRAIN_SLACK = 0.005
 #: Words whose hashes a worker remembers.
 CACHE_ENTRIES = 500_000
 
-_seeds = np.random.default_rng(20260101).integers(1, 2**63, size=(2, COORDINATES), dtype=np.uint64)
+_seeds = np.random.default_rng(20260101).integers(1, 2**63, size=(2, RUN * COORDINATES), dtype=np.uint64)
 _FACTOR, _SHIFT = (_seeds[0] | np.uint64(1))[:, None], _seeds[1][:, None]
 
 
@@ -72,15 +74,18 @@ def node_of(found: np.ndarray) -> int:
 
 
 def signature(found: np.ndarray) -> np.ndarray:
-    """Minima of COORDINATES hash orders over a non-empty set."""
-    least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
+    """32 bits of each coordinate over a non-empty set."""
+    least = np.full(RUN * COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 4096):
         np.minimum(least, (found[None, at : at + 4096] * _FACTOR + _SHIFT).min(axis=1), out=least)
-    return least
+    value = np.zeros(COORDINATES, np.uint64)
+    for run in least.reshape(RUN, COORDINATES):
+        value = _mixed(value * np.uint64(0x9E3779B97F4A7C15) + run)
+    return (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, n_shingles, node, marks`` per row; the last two are null for an empty set. ``marks`` has 32 bits of each minimum."""
+    """``doc_id, n_shingles, node, marks`` per row; the last two are null for an empty set. ``marks`` is the signature."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
@@ -90,7 +95,7 @@ def sketch(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
                 found = shingles(text, words)
                 sizes.append(len(found))
                 nodes.append(node_of(found) if len(found) else None)
-                marks.append((_mixed(signature(found)) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(found) else None)
+                marks.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "node", "marks"])
 
     return rows.mapInArrow(run, "doc_id long, n_shingles long, node long, marks array<int>")
@@ -123,7 +128,7 @@ def _colliding(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _sets(nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """``node, full, grains``: the sorted 64-bit shingle hashes of each of ``node, rep``, and their distinct 32-bit halves."""
+    """``node, full, grains``: the sorted 64-bit shingle hashes of each of ``node, rep``, and their distinct 32-bit halves. Written."""
     # An id may come with several texts; the one wanted has the node's set.
     own = nodes.select("node", "rep").join(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text")), "rep").select("node", "text")
 
@@ -136,7 +141,7 @@ def _sets(nodes: DataFrame, docs: DataFrame, words: int, id_col: str, text_col:
                     out.append((node, found.tobytes(), np.unique(found.astype(np.uint32)).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["node", "full", "grains"])
 
-    return own.mapInArrow(run, "node long, full binary, grains binary")
+    return materialize(own.mapInArrow(run, "node long, full binary, grains binary"), "sets")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -202,42 +207,79 @@ def _close_pairs(rest: list[tuple], others: list[tuple], least: float, root: dic
     return found
 
 
-def _compared(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Close pairs ``a, b`` of the members ``token, node, label, top, n_rest, n_all`` of lists: those whose label is not the list's ``top`` against all others.
+def _parted(placed: DataFrame) -> DataFrame:
+    """The members ``token, node, label, bytes`` of lists with several labels, with the most frequent label and the numbers of blocks of the rest and of all."""
+    by_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    lists = by_label.groupBy("token").agg(F.max_by(F.struct("label", "bytes"), F.struct("n", "label")).alias("most"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    blocks = lambda b, size: F.ceil(b / size).cast("int")
+    lists = lists.select("token", F.col("most.label").alias("top"), blocks(F.col("bytes") - F.col("most.bytes"), REST_BYTES).alias("n_rest"), blocks(F.col("bytes"), BLOCK_BYTES).alias("n_all"))
+    return placed.drop("bytes").join(lists, "token")
+
+
+def _bytes(nodes: DataFrame) -> DataFrame:
+    """``node, data``: one byte of each coordinate."""
+
+    def run(batches):
+        for batch in slices(batches):
+            marks = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, COORDINATES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.tobytes() for m in marks], pa.binary())], names=["node", "data"])
 
-    Each kind is dealt into blocks of bounded bytes; a block of one meets a block of the other in one task, and no pair becomes a row unless it is close.
+    return nodes.select("node", "marks").mapInArrow(run, "node long, data binary")
+
+
+def _blocks(members: DataFrame, data: DataFrame, compare) -> DataFrame:
+    """What ``compare(rest, others, root)`` gives for the members ``token, node, label, top, n_rest, n_all`` of lists, with ``node, data``.
+
+    ``rest``: members whose label is not the list's ``top``; ``others``: all members. Each kind is dealt into blocks of
+    bounded bytes; a block of one meets a block of the other in one task. ``compare`` gets lists of ``(node, label, data)``
+    and a dictionary that lasts for the block, and returns tuples that begin with the list's token.
     """
-    own = members.join(sets.select("node", "grains"), "node")
+    own = members.join(data, "node")
     deal = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rest = own.filter("label <> top").select("token", deal(F.col("n_rest")).alias("i"), every("n_all").alias("j"), F.lit(0).alias("kind"), "node", "label", "grains")
-    others = own.select("token", every("n_rest").alias("i"), deal(F.col("n_all")).alias("j"), F.lit(1).alias("kind"), "node", "label", "grains")
+    rest = own.filter("label <> top").select("token", deal(F.col("n_rest")).alias("i"), every("n_all").alias("j"), F.lit(0).alias("kind"), "node", "label", "data")
+    others = own.select("token", every("n_rest").alias("i"), deal(F.col("n_all")).alias("j"), F.lit(1).alias("kind"), "node", "label", "data")
     ordered = rest.unionByName(others).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "kind")
 
     def run(batches):
         key, rest, others, root = None, [], [], {}
 
-        def pairs():
+        def answer():
             found = []
             if rest and others:
                 for at in range(0, len(rest), TILE[0]):
-                    found += _close_pairs(rest[at : at + TILE[0]], others, least, root)
+                    found += compare(rest[at : at + TILE[0]], others, root)
             others.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(found), pa.int64()), *(pa.array([p[k] for p in found], pa.int64()) for k in (0, 1))], names=["token", "a", "b"])
 
         for batch in slices(batches):
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[:3] != key:
-                    yield pairs()
+                    if others:
+                        yield answer()
                     key, root = row[:3], {}
                     rest.clear()
                 (others if row[3] else rest).append(row[4:])
                 if len(others) == TILE[1]:
-                    yield pairs()
-        yield pairs()
+                    yield answer()
+        if others:
+            yield answer()
 
-    pairs = ordered.mapInArrow(run, "a long, b long")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return ordered.mapInArrow(run, "token long, a long, b long")
+
+
+def _meeting(rest: list[tuple], others: list[tuple], root: dict) -> list[tuple[int, int]]:
+    """The members that collide in MATCHES coordinates with one of another label, each once, with themselves: as many rows as members at most."""
+    x, y = (np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(-1, COORDINATES) for rows in (rest, others))
+    apart = np.array([r[1] for r in rest])[:, None] != np.array([r[1] for r in others])[None]
+    count = np.zeros(apart.shape, np.uint8)
+    for c in range(COORDINATES):
+        count += x[:, c, None] == y[None, :, c]
+    meet = apart & (count >= MATCHES)
+    found = {rest[i][0] for i in np.flatnonzero(meet.any(axis=1))} | {others[j][0] for j in np.flatnonzero(meet.any(axis=0))}
+    new = found - root.keys()
+    root.update(dict.fromkeys(new))
+    return [(n, n) for n in sorted(new)]
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,14 +297,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     if part * 10 < whole * 8:
         raise ValueError("signatures are laid out for similarities of 0.8 or more")
     rows = materialize(sketch(docs, words, id_col, text_col), "sketch")
-    every = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("marks").alias("marks")), "nodes")
+    every = materialize(rows.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("marks").alias("marks")), "nodes")
     nodes = materialize(every.join(prefixes(every), "node"), "prefixes")
     posts = nodes.select(F.explode("tokens").alias("token"), "node", "weight")
     lists = posts.groupBy("token").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     held = materialize(posts.drop("weight").join(lists, "token").filter("node <> hub"), "lists")
     star = held.groupBy(F.col("node").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("met"))
     close = materialize(_colliding(star, nodes), "close")
-    sets = materialize(_sets(nodes, docs, words, id_col, text_col), "sets")
+    ends = close.select(F.col("a").alias("node")).unionByName(close.select(F.col("b").alias("node"))).distinct()
+    known = nodes.select("node", "rep")
+    sets = _sets(known.join(ends, "node", "left_semi"), docs, words, id_col, text_col)
     # The hub met in most lists first; others only where that leaves nodes apart.
     first = close.groupBy("a").agg(F.max_by("b", F.struct("met", "b")).alias("b"))
     links = materialize(_confirmed(first, sets, similarity), "links")
@@ -272,15 +316,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
         links = links.unionByName(more)
         labels = components(links)
 
-    # Lists whose members, hub aside, are still in several components.
-    placed = held.select("token", "node").join(labels, "node", "left").join(nodes.select("node", "size"), "node").select("token", "node", F.coalesce("label", "node").alias("label"), "size")
-    by_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), (4 * F.sum("size")).alias("bytes"))
-    parted = by_label.groupBy("token").agg(F.max_by(F.struct("label", "bytes"), F.struct("n", "label")).alias("most"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    blocks = lambda b, size: F.ceil(b / size).cast("int")
-    parted = parted.select("token", F.col("most.label").alias("top"), blocks(F.col("bytes") - F.col("most.bytes"), REST_BYTES).alias("n_rest"), blocks(F.col("bytes"), BLOCK_BYTES).alias("n_all"))
-    members = materialize(placed.drop("size").join(parted, "token"), "parted")
-    if members.limit(1).count():
-        near = materialize(_compared(members, sets, part / whole), "near")
+    # Lists whose members, hub aside, are still in several components: first the members that collide with another component's.
+    placed = held.select("token", "node").join(labels, "node", "left").select("token", "node", F.coalesce("label", "node").alias("label"))
+    members = materialize(_parted(placed.withColumn("bytes", F.lit(COORDINATES))), "parted")
+    met = materialize(_blocks(members, _bytes(nodes), _meeting).select("token", F.col("a").alias("node")).distinct(), "met") if members.limit(1).count() else None
+    if met is not None and met.limit(1).count():
+        wanted = known.join(met.select("node").distinct(), "node", "left_semi")
+        sets = sets.unionByName(_sets(wanted.join(sets.select("node"), "node", "left_anti"), docs, words, id_col, text_col))
+        grains = sets.select("node", F.col("grains").alias("data"))
+        members = materialize(_parted(members.select("token", "node", "label").join(met, ["token", "node"]).join(grains.select("node", F.length("data").alias("bytes")), "node")), "parted")
+        least = part / whole
+        near = _blocks(members, grains, lambda rest, others, root: _close_pairs(rest, others, least, root))
+        near = materialize(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near")
         more = materialize(_confirmed(near, sets, similarity), "links")
         if more.limit(1).count():
             labels = components(links.unionByName(more))

@@ -128,16 +128,16 @@ def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
     base = [draw.choice(vocab) for _ in range(100)]
 
     def made(n):
-        counts, plain, compared = [], minhash.materialize, minhash._compared
+        counts, plain, blocks = [], minhash.materialize, minhash._blocks
 
         def counted(df, name):
             out = plain(df, name)
             counts.append(out.count())
             return out
 
-        def blocks(members, sets, least):
-            counts.append(members.agg({"n_rest": "sum", "n_all": "sum"}).collect()[0][0] or 0)
-            return compared(members, sets, least)
+        def dealt(members, data, compare):
+            counts.append(members.agg({"n_rest": "sum", "n_all": "sum"}).selectExpr("`sum(n_rest)` + `sum(n_all)` AS n").first().n or 0)
+            return blocks(members, data, compare)
 
         rows = []
         for i in range(n):
@@ -147,8 +147,8 @@ def test_rows_grow_with_a_group_not_with_its_square(spark, monkeypatch):
             rows.append((i, " ".join(w), "en", "a"))
         with monkeypatch.context() as patch:
             patch.setattr(minhash, "materialize", counted)
-            patch.setattr(minhash, "_compared", blocks)
+            patch.setattr(minhash, "_blocks", dealt)
             minhash.near_duplicates(docs(spark, rows), 2).collect()
         return sum(counts)
 
-    assert made(800) < 2.5 * made(400)
+    assert made(300) < 2.5 * made(150)
