@@ -1,8 +1,8 @@
 """Modified Kneser-Ney over unfolded characters, in tables that grow with the corpus.
 
 A text is the characters of its words, each word followed by a blank. The history of a character
-is the ORDER - 1 characters before it, which reach over the blank into the word before. Grams are kept
-as strings in tables by model, so nothing bounds their number and nothing is collected or broadcast.
+is the ORDER - 1 characters before it, which reach over the blank into the word before. Grams are
+strings in tables by model, whose number nothing bounds; workers hold them as sorted arrays of hashes.
 Texts are dealt into two folds by their hash, and a fold is scored by the counts of the other one only: a
 text, and every copy of it, has no part in its own score.
 """
@@ -22,6 +22,8 @@ ORDER = 4
 PAD = " " * (ORDER - 1)
 #: Characters of text in one part of the documents: a part asks for its grams once.
 PART_CHARS = 8_000_000
+#: Distinct words that a worker holds for all languages together, and rows of joints before they are added up.
+WORDS_HELD, JOINTS_HELD = 400_000, 2_000_000
 POOLED = ""
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,28 +72,39 @@ def unpacked(packed: bytes) -> list[pa.RecordBatch]:
     return list(pa.ipc.open_stream(pa.py_buffer(packed)))
 
 
-class Tokens:
-    """The distinct words and junctions of some texts, and which of them each word of the texts has.
+class Words(dict):
+    """Numbers of the distinct words of one language, with what their neighbours see of them.
 
-    A junction is what a word's first ORDER - 1 characters see of the word before.
+    A joint is what a word's first ORDER - 1 characters see of the word before: the tail of one word and the head
+    of the next. Number 0 is the empty word before the first.
     """
 
-    def __init__(self, texts: list[list[bytes]]) -> None:
-        ids: dict[bytes, int] = {b"": 0}
+    def __init__(self) -> None:
+        self.inner, self.tails, self.heads = [], {}, {}
+        self.tail, self.head, self.lettered = [], [], []
+        self[b""]
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode("utf-8", "surrogatepass")
+        self.inner.append(text + " ")
+        self.tail.append(self.tails.setdefault((PAD + text + " ")[-len(PAD) :] if text else PAD, len(self.tails)))
+        self.head.append(self.heads.setdefault((text + " ")[: len(PAD)], len(self.heads)))
+        self.lettered.append(any(map(str.isalnum, text)))
+        n = self[word] = len(self.inner) - 1
+        return n
+
+    def numbered(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each word of the texts in a row its text, its number and its joint."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        self.owner = np.repeat(np.arange(len(texts)), sizes)
-        self.at = np.fromiter((ids.setdefault(w, len(ids)) for words in texts for w in words), np.int64, int(sizes.sum()))
-        self.words = [w.decode("utf-8", "surrogatepass") for w in ids]
-        before = np.zeros(len(self.at), np.int64)
-        before[1:] = self.at[:-1]
+        at = np.fromiter((self[w] for words in texts for w in words), np.int64, int(sizes.sum()))
+        before = np.zeros(len(at), np.int64)
+        before[1:] = at[:-1]
         before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        tails, heads = {}, {}
-        tail = np.array([tails.setdefault((PAD + w + " ")[-len(PAD) :] if w else PAD, len(tails)) for w in self.words], np.int64)
-        head = np.array([heads.setdefault((w + " ")[: len(PAD)], len(heads)) for w in self.words], np.int64)
-        joined, self.join_at = np.unique(tail[before] * len(heads) + head[self.at], return_inverse=True)
-        tails, heads = list(tails), list(heads)
-        self.joints = [tails[j // len(heads)] + heads[j % len(heads)] for j in joined.tolist()]
-        self.inner = [w + " " for w in self.words]
+        return np.repeat(np.arange(len(texts)), sizes), at, (np.array(self.tail)[before] << 32) + np.array(self.head)[at]
+
+    def joints(self, codes: np.ndarray) -> list[str]:
+        tails, heads = list(self.tails), list(self.heads)
+        return [tails[c >> 32] + heads[c & 0xFFFFFFFF] for c in codes.tolist()]
 
 
 def hashes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]:
@@ -111,44 +124,94 @@ def hashes(strings: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, str]
     return value, owner, start, line
 
 
-def part_counts(texts: list[list[bytes]], folds: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct grams of texts of one language and their counts in both folds."""
-    tokens = Tokens(texts)
-    fold = folds[tokens.owner]
-    strings = tokens.inner + tokens.joints
-    value, owner, start, line = hashes(strings)
-    distinct, first, back = np.unique(value, return_index=True, return_inverse=True)
-    counts = []
-    for f in (0, 1):
-        times = np.concatenate([np.bincount(tokens.at[fold == f], minlength=len(tokens.inner)), np.bincount(tokens.join_at[fold == f], minlength=len(tokens.joints))])
-        counts.append(np.bincount(back, times[owner], len(distinct)).astype(np.int64))
-    return [line[s : s + ORDER] for s in start[first].tolist()], counts[0], counts[1]
-
-
-def by_language(batches: list[pa.RecordBatch]) -> dict[str, list[int]]:
+class Counts:
+    """Counts of the grams of one language in both folds."""
+
+    def __init__(self) -> None:
+        self.grams, self.n = np.empty(0, f"U{ORDER}"), np.zeros((2, 0), np.int64)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.words, self.times, self.codes, self.joined = Words(), np.zeros((2, 0), np.int64), np.empty(0, np.int64), np.zeros((2, 0), np.int64)
+
+    def add(self, texts: list[list[bytes]], folds: np.ndarray) -> None:
+        owner, at, joint = self.words.numbered(texts)
+        fold = folds[owner]
+        grown = np.stack([np.bincount(at[fold == f], minlength=len(self.words)) for f in (0, 1)])
+        grown[:, : self.times.shape[1]] += self.times
+        self.times = grown
+        codes, back = np.unique(joint, return_inverse=True)
+        self.codes = np.concatenate([self.codes, codes])
+        self.joined = np.hstack([self.joined, np.stack([np.bincount(back[fold == f], minlength=len(codes)) for f in (0, 1)])])
+        if len(self.codes) > JOINTS_HELD:
+            self.codes, self.joined = _summed(self.codes, self.joined)
+
+    def fold(self) -> None:
+        """Turn the words held into grams, and forget them."""
+        if not len(self.codes):
+            return
+        codes, joined = _summed(self.codes, self.joined)
+        strings = self.words.inner + self.words.joints(codes)
+        value, owner, start, line = hashes(strings)
+        distinct, first, back = np.unique(value, return_index=True, return_inverse=True)
+        times = np.hstack([self.times, joined])[:, owner]
+        n = np.stack([np.bincount(back, t, len(distinct)) for t in times]).astype(np.int64)
+        grams = np.array([line[s : s + ORDER] for s in start[first].tolist()], f"U{ORDER}")
+        some = n.any(axis=0)  # the empty word's own grams are none
+        self.grams, self.n = _summed(np.concatenate([self.grams, grams[some]]), np.hstack([self.n, n[:, some]]))
+        self._clear()
+
+    def batch(self, *before: tuple[str, object, pa.DataType]) -> pa.RecordBatch:
+        self.fold()
+        own = [("gram", self.grams.tolist(), pa.string()), ("n0", self.n[0], pa.int64()), ("n1", self.n[1], pa.int64())]
+        return pa.RecordBatch.from_arrays([*(pa.array([v] * len(self.grams), kind) for _, v, kind in before), *(pa.array(v, kind) for _, v, kind in own)], names=[x[0] for x in (*before, *own)])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, back = np.unique(keys, return_inverse=True)
+    return distinct, np.stack([np.bincount(back, x, len(distinct)) for x in n]).astype(np.int64)
+
+
+def by_language(langs: list[str]) -> dict[str, list[int]]:
     groups: dict[str, list[int]] = {}
-    i = 0
-    for b in batches:
-        for lang in b.column(1).to_pylist():
-            groups.setdefault(lang, []).append(i)
-            i += 1
+    for i, lang in enumerate(langs):
+        groups.setdefault(lang, []).append(i)
     return groups
 
 
-def counted(parts: DataFrame) -> DataFrame:
-    """``part, lang, gram, n0, n1``: the grams of each part, counted in both folds."""
+def _gathered(batches) -> dict[str, Counts]:
+    """The counts of each language over batches with ``lang, text``; no more than WORDS_HELD words are held, give or take a batch."""
+    held: dict[str, Counts] = {}
+    for batch in batches:
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        for lang, rows in by_language(batch.column("lang").to_pylist()).items():
+            held.setdefault(lang, Counts()).add([utf8(texts[i]).split() for i in rows], np.array([fold_of(texts[i]) for i in rows]))
+        while sum(len(c.words) for c in held.values()) > WORDS_HELD + len(held):
+            max(held.values(), key=lambda c: len(c.words)).fold()
+    return held
+
+
+def counted(rows: DataFrame) -> DataFrame:
+    """``lang, gram, n0, n1``: the grams of ``lang, text``, counted in both folds; each task adds up its own before anything is sent."""
+
+    def run(batches):
+        for lang, counts in _gathered(slices(batches)).items():
+            yield counts.batch(("lang", lang, pa.string()))
+
+    made = rows.select("lang", "text").mapInArrow(run, "lang string, gram string, n0 long, n1 long")
+    return made.groupBy("lang", "gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+
+
+def asked(parts: DataFrame) -> DataFrame:
+    """``part, lang, gram`` of each part."""
 
     def run(batches):
         for batch in batches:
             for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held = unpacked(packed.as_py())
-                texts = [t or "" for b in held for t in b.column(2).to_pylist()]
-                for lang, rows in by_language(held).items():
-                    grams, n0, n1 = part_counts([utf8(texts[i]).split() for i in rows], np.array([fold_of(texts[i]) for i in rows]))
-                    n = len(grams)
-                    yield pa.RecordBatch.from_arrays([pa.array([part] * n, pa.int64()), pa.array([lang] * n, pa.string()), pa.array(grams, pa.string()), pa.array(n0, pa.int64()), pa.array(n1, pa.int64())], names=["part", "lang", "gram", "n0", "n1"])
+                for lang, counts in _gathered(unpacked(packed.as_py())).items():
+                    yield counts.batch(("part", part, pa.int64()), ("lang", lang, pa.string())).select(["part", "lang", "gram"])
 
-    return parts.mapInArrow(run, "part long, lang string, gram string, n0 long, n1 long")
+    return parts.mapInArrow(run, "part long, lang string, gram string")
 
 
 def _discounts(level: DataFrame) -> DataFrame:
@@ -202,32 +265,77 @@ def scored_grams(counts: DataFrame) -> DataFrame:
     return below
 
 
-def answers(counts: DataFrame, grams: DataFrame) -> DataFrame:
-    """``part, lang, gram, own0, own1, all0, all1``: for every gram a part holds the log probabilities by its language's model and by that of all."""
+def logs_of(grams: DataFrame) -> DataFrame:
+    """``lang, gram, own0, own1, all0, all1``: log probabilities by the language's model and by that of all languages."""
     logs = [F.log(f"p{f}").cast("float") for f in (0, 1)]
     own = grams.filter(F.col("model") != POOLED).select(F.substring("model", 2, 1 << 30).alias("lang"), "gram", logs[0].alias("own0"), logs[1].alias("own1"))
     pooled = grams.filter(F.col("model") == POOLED).select("gram", logs[0].alias("all0"), logs[1].alias("all1"))
-    return counts.select("part", "lang", "gram").join(own.join(pooled, "gram"), ["lang", "gram"])
+    return own.join(pooled, "gram").select("lang", "gram", *LOGS)
 
 
-def word_logs(texts: list[list[bytes]], folds: np.ndarray, grams: list[str], logs: np.ndarray, foreign: float) -> np.ndarray:
-    """The log probability of each text of one language; ``logs`` has own0, own1, all0, all1 for each gram.
+LOGS = ("own0", "own1", "all0", "all1")
 
-    A word's probability is that of its language's model, or with probability ``foreign`` that of all languages.
-    """
-    tokens = Tokens(texts)
-    if not len(tokens.at):
-        return np.zeros(len(texts))
-    known = hashes(grams)[0]
-    order = np.argsort(known)
-    known = known[order]
-    value, owner, _, _ = hashes(tokens.inner + tokens.joints)
-    at = order[np.searchsorted(known, value)]
-    fold, n = folds[tokens.owner], len(tokens.inner)
-    total = np.zeros(len(tokens.at))
-    for f in (0, 1):
-        sums = [np.bincount(owner, logs[m, at], n + len(tokens.joints)) for m in (f, 2 + f)]
-        mine = fold == f
-        own, pooled = (s[tokens.at[mine]] + s[n + tokens.join_at[mine]] for s in sums)
-        total[mine] = np.logaddexp(np.log(1 - foreign) + own, np.log(foreign) + pooled)
-    return np.bincount(tokens.owner, total, len(texts))
+
+class Arrays:
+    """The grams of one language: sorted hashes, and their four log probabilities."""
+
+    def __init__(self, grams: list[str], logs: np.ndarray) -> None:
+        value = hashes(grams)[0]
+        order = np.argsort(value)
+        self.value, self.logs = value[order], logs[:, order]
+
+    def sums(self, strings: list[str]) -> np.ndarray:
+        """The four sums over the grams of each string. Every gram of the corpus is here."""
+        value, owner, _, _ = hashes(strings)
+        at = np.searchsorted(self.value, value)
+        return np.stack([np.bincount(owner, x[at], len(strings)) for x in self.logs])
+
+
+def models_of(table: pa.Table) -> dict[str, Arrays]:
+    """The arrays of each language from the columns of ``logs_of``."""
+    lang = table["lang"].combine_chunks().dictionary_encode()
+    codes, grams = lang.indices.to_numpy(zero_copy_only=False), table["gram"]
+    logs = np.stack([table[c].to_numpy() for c in LOGS])
+    out = {}
+    for i, name in enumerate(lang.dictionary.to_pylist()):
+        at = np.flatnonzero(codes == i)
+        out[name] = Arrays(grams.take(pa.array(at)).to_pylist(), logs[:, at])
+    return out
+
+
+class Scorer:
+    """Scores the texts of one language; the sums of words are remembered."""
+
+    def __init__(self, arrays: Arrays) -> None:
+        self.arrays, self.words, self.known = arrays, Words(), np.zeros((4, 0))
+
+    def __call__(self, texts: list[list[bytes]], folds: np.ndarray, foreign: float) -> tuple[np.ndarray, np.ndarray]:
+        """The log probability of each text and the number of its words with a letter or digit.
+
+        A word's probability is that of its language's model, or with probability ``foreign`` that of all languages.
+        """
+        if len(self.words) > WORDS_HELD:
+            self.words, self.known = Words(), np.zeros((4, 0))
+        owner, at, joint = self.words.numbered(texts)
+        have = self.known.shape[1]
+        if len(self.words) > have:
+            fresh = self.words.inner[have:]
+            if not have:
+                fresh = ["", *fresh[1:]]  # the empty word before the first is not in a text
+            self.known = np.hstack([self.known, self.arrays.sums(fresh)])
+        codes, back = np.unique(joint, return_inverse=True)
+        joined = self.arrays.sums(self.words.joints(codes)) if len(codes) else np.zeros((4, 0))
+        first = folds[owner] == 0
+        own, pooled = (np.where(first, self.known[m, at] + joined[m, back], self.known[m + 1, at] + joined[m + 1, back]) for m in (0, 2))
+        total = np.logaddexp(np.log(1 - foreign) + own, np.log(foreign) + pooled)
+        return np.bincount(owner, total, len(texts)), np.bincount(owner, np.array(self.words.lettered)[at], len(texts)).astype(np.int64)
+
+
+class Scorers(dict):
+    """A scorer for each language; one whose texts have no word has no model and needs none."""
+
+    def __init__(self, models: dict[str, Arrays]) -> None:
+        super().__init__({k: Scorer(v) for k, v in models.items()})
+
+    def __missing__(self, lang: str) -> Scorer:
+        return Scorer(Arrays([], np.zeros((4, 0))))

@@ -1,25 +1,26 @@
 """Quality rules: counts that any document must pass, then language-specific perplexity bands.
 
 Grams of characters are counted over all documents by Spark, a modified Kneser-Ney model is made for
-each language in tables, every document is scored with its language's model by join (``charmodel``), and
-documents whose log perplexity lies outside the band of their language are rejected.
+each language in tables (``charmodel``), every document is scored with its language's model, and
+documents whose log perplexity lies outside the band of their language are rejected. Log perplexity is
+taken for each word with a letter or digit, so that signs are charged to the words they stand beside: for each
+character they would make a text more predictable.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm import charmodel, ngrams
+from almanac.llm import charmodel
 from almanac.llm.common import materialize, slices, utf8
 
-#: Words of all languages whose counts or scores one worker holds, give or take a batch.
-WORDS_HELD = 400_000
+#: Rows of all models up to which workers get them whole, some 60 MB; beyond, documents are joined with their grams in parts.
+MODEL_ROWS = 1_000_000
 #: The language of documents that name none.
 OTHER = "other"
 #: The part of its words that a document of one language is expected to hold in others.
@@ -77,65 +78,56 @@ def _named(docs: DataFrame, langs: list[str] | None, id_col: str, lang_col: str,
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), named.alias("lang"), F.col(text_col).cast("string").alias("text"))
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """``lang, gram, n`` over every word of ``lang, text``; each task adds up its words before anything is sent."""
+_SCORES = {"doc_id": pa.int64(), "lang": pa.string(), "n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(), "n_dup_lines": pa.int64(), "n_repeat_words": pa.int64(), "n_lettered": pa.int64(), "log_perplexity": pa.float64(), "copy": pa.int64()}
+_SCHEMA = ", ".join(f"{k} {({pa.int64(): 'long', pa.string(): 'string', pa.float64(): 'double'})[v]}" for k, v in _SCORES.items())
 
-    def run(batches):
-        held: dict[str, Counter] = defaultdict(Counter)
-        sums: dict[str, dict] = defaultdict(lambda: (np.empty(0, np.int64), np.empty(0, np.int64)))
 
-        def fold(lang: str) -> None:
-            words = held.pop(lang)
-            gram, owner = ngrams.grams_of([w.decode("utf-8", "surrogatepass") for w in words])
-            n = np.fromiter(words.values(), np.int64, len(words))[owner]
-            old_g, old_n = sums[lang]
-            g, back = np.unique(np.concatenate([old_g, gram]), return_inverse=True)
-            sums[lang] = (g, np.bincount(back, np.concatenate([old_n, n])).astype(np.int64))
-
-        for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if text:
-                    held[lang].update(utf8(text).split())
-            while sum(map(len, held.values())) > WORDS_HELD:
-                fold(max(held, key=lambda x: len(held[x])))
-        for lang in [*held]:
-            if held[lang]:
-                fold(lang)
-        for lang, (g, n) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
-
-    return rows.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+def _measured(batch: pa.RecordBatch, scorers: dict) -> pa.RecordBatch:
+    """Counts and log perplexity of ``doc_id, lang, text``."""
+    ids, langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
+    rows = [None] * len(ids)
+    for lang, at in charmodel.by_language(langs).items():
+        split = [utf8(texts[i]).split() for i in at]
+        total, lettered = scorers[lang](split, np.array([charmodel.fold_of(texts[i]) for i in at]), FOREIGN)
+        for i, words, value, n in zip(at, split, total.tolist(), lettered.tolist()):
+            text = texts[i]
+            chars = len(text) - sum(map(text.count, _WHITE))
+            copy = int.from_bytes(blake2b(utf8(text), digest_size=8).digest(), "big", signed=True)
+            rows[i] = (ids[i], lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), n, -value / max(1, n) if words else None, copy)
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(_SCORES.values())], names=[*_SCORES])
 
 
 def scored(rows: DataFrame) -> DataFrame:
-    """The counts of each document, and its log perplexity for each character with the number of characters."""
+    """The counts of each document of ``doc_id, lang, text``, its words with a letter or digit, and its log perplexity for each of them.
+
+    Models of up to MODEL_ROWS rows in all are sent to every worker. Larger ones stay in tables: documents are packed into parts, and
+    each part is joined with the rows of its own grams. Both ways give the same.
+    """
+    counts = charmodel.written(charmodel.counted(rows), "counts")
+    logs = charmodel.written(charmodel.logs_of(charmodel.scored_grams(counts)), "logs")
+    if logs.count() <= MODEL_ROWS:
+        shared = rows.sparkSession.sparkContext.broadcast(charmodel.models_of(logs.toArrow()))
+
+        def run(batches):
+            scorers = charmodel.Scorers(shared.value)
+            for batch in slices(batches):
+                if batch.num_rows:
+                    yield _measured(batch, scorers)
+
+        return rows.select("doc_id", "lang", "text").mapInArrow(run, _SCHEMA)
     parts = charmodel.dealt(rows)
-    counts = charmodel.written(charmodel.counted(parts), "counts")
-    asked = charmodel.answers(counts, charmodel.scored_grams(counts))
-    names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "log_perplexity", "copy"]
+    answers = charmodel.asked(parts).join(logs, ["lang", "gram"])
 
-    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+    def run_part(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        scorers = charmodel.Scorers(charmodel.models_of(answers) if answers.num_rows else {})
         held = [b for p in packed.column("packed") for b in charmodel.unpacked(p.as_py())]
-        ids = [i for b in held for i in b.column(0).to_pylist()]
-        texts = [t or "" for b in held for t in b.column(2).to_pylist()]
-        rows = [None] * len(ids)
-        for lang, at in charmodel.by_language(held).items():
-            split = [utf8(texts[i]).split() for i in at]
-            mine = answers.filter(pc.equal(answers["lang"], lang))
-            logs = np.stack([mine[c].to_numpy() for c in ("own0", "own1", "all0", "all1")])
-            total = charmodel.word_logs(split, np.array([charmodel.fold_of(texts[i]) for i in at]), mine["gram"].to_pylist(), logs, FOREIGN)
-            for i, words, value in zip(at, split, total.tolist()):
-                text = texts[i]
-                chars = len(text) - sum(map(text.count, _WHITE))
-                rows[i] = (ids[i], lang, len(words), chars, sum(map(text.count, _SYMBOLS)), repeated_lines(text), repeated_words(words), -value / (chars + len(words)) if words else None, int.from_bytes(blake2b(utf8(text), digest_size=8).digest(), "big", signed=True))
-        kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64(), pa.int64()]
-        return pa.Table.from_arrays([pa.array([r[j] for r in rows], kinds[j]) for j in range(len(names))], names=names)
-
-    return parts.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(run, "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double, copy long")
+        return pa.Table.from_batches([_measured(b, scorers) for b in held], pa.schema(_SCORES.items()))
+
+    return parts.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(run_part, _SCHEMA)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """One row for each row of ``docs``: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity``.
+    """One row for each row of ``docs``: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, log_perplexity``.
 
     ``base_failed``: fewer than LEAST_WORDS words, or over a fifth of the words in repeated windows.
     ``kept``: not base_failed, and log perplexity within the band of the language.
@@ -152,9 +144,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     # Each distinct passage counts once.
     passing = passing.dropDuplicates(["lang", "copy"])
     quarter = lambda c, *q: F.percentile_approx(c, F.array(*map(F.lit, q)), F.lit(10_000))
-    middle = passing.groupBy("lang").agg(quarter("log_perplexity", 0.5)[0].alias("median"), quarter("n_words", 0.5)[0].alias("usual"))
+    middle = passing.groupBy("lang").agg(quarter("log_perplexity", 0.5)[0].alias("median"), quarter("n_lettered", 0.5)[0].alias("usual"))
     # Variance at n words is fixed + by_word / n, from the quartiles of the shorter and the longer half.
-    halves = passing.join(middle, "lang").groupBy("lang", (F.col("n_words") > F.col("usual")).alias("long")).agg(quarter("log_perplexity", 0.25, 0.75).alias("h"), F.avg(1 / F.col("n_words")).alias("inverse"))
+    halves = passing.join(middle, "lang").groupBy("lang", (F.col("n_lettered") > F.col("usual")).alias("long")).agg(quarter("log_perplexity", 0.25, 0.75).alias("h"), F.avg(1 / F.greatest(F.col("n_lettered"), F.lit(1))).alias("inverse"))
     spread = F.pow((F.col("h")[1] - F.col("h")[0]) / NORMAL, 2)
     side = lambda c, long: F.max(F.when(F.col("long") == long, c))
     sides = halves.groupBy("lang").agg(side(spread, False).alias("v_short"), side(spread, True).alias("v_long"), side(F.col("inverse"), False).alias("i_short"), side(F.col("inverse"), True).alias("i_long"))
@@ -162,7 +154,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     by_word = F.least(F.coalesce(slope, F.lit(0.0)), F.coalesce(F.col("v_long") / F.col("i_long"), F.lit(0.0)))
     fixed = F.coalesce(F.col("v_long") - by_word * F.col("i_long"), F.col("v_short"))
     shape = middle.join(sides.select("lang", by_word.alias("by_word"), fixed.alias("fixed")), "lang")
-    expected = F.sqrt(F.col("fixed") + F.col("by_word") / F.col("n_words"))
+    expected = F.sqrt(F.col("fixed") + F.col("by_word") / F.greatest(F.col("n_lettered"), F.lit(1)))
     away = F.col("log_perplexity") - F.col("median")
     placed = out.join(shape, "lang", "left").withColumn("drawn", F.when(expected > 0, away / expected).otherwise(away))
     quartiles = placed.filter("not base_failed").dropDuplicates(["lang", "copy"]).groupBy("lang").agg(quarter("drawn", 0.25, 0.75).alias("q"))
@@ -170,5 +162,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang
     bands = quartiles.select("lang", (F.col("q")[0] - BELOW * reach).alias("low"), (F.col("q")[1] + ABOVE * reach).alias("high"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("drawn").between(F.col("low"), F.col("high")), F.lit(False))
     return placed.join(bands, "lang", "left").select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.exp("log_perplexity").alias("perplexity"), "drawn", "lang", "low", "high"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "log_perplexity", "drawn", "lang", "low", "high"
     )

@@ -5,7 +5,7 @@ from collections import Counter
 
 import numpy as np
 
-from almanac.llm import ngrams, quality_rules
+from almanac.llm import charmodel, quality_rules
 from tests.llm.cases import DOCS, docs
 
 
@@ -32,44 +32,10 @@ def test_counts(spark):
     assert got == sorted(((i, *brute_counts(t)) for i, t, *_ in rows), key=str)
     for r in out:
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
-        assert not (r.base_failed and r.kept) and (r.perplexity is None) == (r.n_words == 0)
+        assert not (r.base_failed and r.kept) and (r.log_perplexity is None) == (r.n_words == 0)
     assert quality_rules.quality_rules(docs(spark, [])).count() == 0
 
 
-def test_model_sums_to_one_and_matches_plain_arithmetic():
-    words = ["the", "then", "hat", "that", "the", "heat", "a"] * 3 + ["Zoo!"]
-    gram, owner = ngrams.grams_of(words)
-    assert len(gram) == sum(len(w) + 1 for w in words) and owner[-1] == len(words) - 1
-    g, n = np.unique(gram, return_counts=True)
-    model = ngrams.train(g, n)
-    for context in {int(x) >> ngrams.BITS for x in gram[:40]} | {12345}:
-        every = (context << ngrams.BITS) | np.arange(ngrams.CODES)
-        assert abs(np.exp(model.log_probability(every)).sum() - 1) < 1e-3
-    assert all((np.diff(x) > 0).all() for x in [*model.grams, *model.contexts])
-    # The highest order by hand.
-    count = Counter(gram.tolist())
-    d = ngrams._discounts(np.array(list(count.values()), float))
-    some = int(gram[5])
-    ctx = some >> ngrams.BITS
-    inside = {x: c for x, c in count.items() if x >> ngrams.BITS == ctx}
-    total = sum(inside.values())
-    weight = sum(d[min(c, 3)] for c in inside.values()) / total
-    lower = math.exp(model.scores[2][np.searchsorted(model.grams[2], some & ((1 << 18) - 1))])
-    want = (count[some] - d[min(count[some], 3)]) / total + weight * lower
-    assert abs(math.exp(model.log_probability(np.array([some]))[0]) - want) < 1e-5
-
-
-def test_gram_counts_equal_plain_counts(spark):
-    rows = quality_rules._named(docs(spark), ["en"], "doc_id", "lang", "text")
-    got = {(r.lang, r.gram): r.n for r in quality_rules.gram_counts(rows).collect()}
-    want = Counter()
-    for _, text, lang, _ in DOCS:
-        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
-        if words:
-            want.update(("en" if lang == "en" else "other", int(g)) for g in ngrams.grams_of(words)[0])
-    assert got == dict(want)
-
-
 def test_strange_text_is_rejected_and_plain_text_kept(spark):
     draw = random.Random(5)
     syllables = ["the", "an", "ing", "er", "re", "on", "st", "ha"]
@@ -95,15 +61,13 @@ def test_word_order_and_every_script_count(spark):
                 draw.shuffle(words)
                 rows.append((len(rows), " ".join(words), lang, "a"))
                 pairs.append((len(rows) - 2, len(rows) - 1))
-    got = {r.doc_id: r.perplexity for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
-    assert all(got[shuffled] > 1.1 * fluent for fluent, shuffled in ((got[a], b) for a, b in pairs))
+    got = {r.doc_id: r.log_perplexity for r in quality_rules.quality_rules(docs(spark, rows)).collect()}
+    assert all(got[shuffled] > fluent + math.log(1.1) for fluent, shuffled in ((got[a], b) for a, b in pairs))
 
 
 def test_grams_equal_plain_counts_and_probabilities_sum_to_one(spark):
-    from almanac.llm import charmodel
-
     rows = quality_rules._named(docs(spark), ["en"], "doc_id", "lang", "text")
-    counts = charmodel.counted(charmodel.dealt(rows)).cache()
+    counts = charmodel.counted(rows).cache()
     want = Counter()
     for _, text, lang, _ in DOCS:
         before, fold = "", charmodel.fold_of(text or "")
@@ -127,3 +91,33 @@ def test_every_language_has_its_own_band(spark):
     rows = [(i, f"w{i % 7} a b c d e f g h i j k l m n o p", f"l{i % 40:02}", "a") for i in range(200)]
     out = quality_rules.quality_rules(docs(spark, rows))
     assert {r.lang for r in out.select("lang").distinct().collect()} == {f"l{i:02}" for i in range(40)}
+
+
+def test_signs_between_words_are_rejected_in_every_language(spark):
+    """Menus and words hung with signs are a tenth of each language, as frequent as to be part of its model."""
+    draw = random.Random(3)
+    rows, junk = [], set()
+    for lang, syllables in (("en", "the an ing er re on st ha".split()), ("de", "ung ein ä ßer lich ver keit".split())):
+        usual = [draw.choice(syllables) + draw.choice(syllables) for _ in range(12)]
+        rare = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(2, 4)))  # noqa: B023, E731
+        for i in range(300):
+            words = [draw.choice(usual) if draw.random() < 0.4 else rare() for _ in range(150)]
+            if i % 20 == 0:
+                words = [w + draw.choice(["%%%", "###", "$$$"]) for w in words]
+            elif i % 20 == 10:
+                words = [x for w in words for x in (rare(), "|")]
+            if i % 10 == 0:
+                junk.add(len(rows))
+            rows.append((len(rows), " ".join(words), lang, "a"))
+    out = quality_rules.quality_rules(docs(spark, rows)).collect()
+    assert sum(r.kept for r in out if r.doc_id in junk) <= 0.05 * len(junk)
+    assert sum(not r.kept for r in out if r.doc_id not in junk) <= 0.01 * len(rows)
+
+
+def test_parts_give_what_whole_models_give(spark, monkeypatch):
+    key = lambda rows: sorted((tuple(None if x is None else round(x, 5) if isinstance(x, float) else x for x in r) for r in rows), key=str)
+    whole = key(quality_rules.quality_rules(docs(spark)).collect())
+    monkeypatch.setattr(quality_rules, "MODEL_ROWS", 0)
+    monkeypatch.setattr(charmodel, "WORDS_HELD", 50)
+    monkeypatch.setattr(charmodel, "PART_CHARS", 500)
+    assert key(quality_rules.quality_rules(docs(spark)).collect()) == whole
