@@ -4,8 +4,12 @@ The standard library's parser streams tags and text; block tags end lines. Each
 has a text-to-tag ratio, nothing where it stands in a menu, header, footer, sidebar, notice, advert, form
 or among reader comments, less where its text is links. Ratios are smoothed by a Gaussian over
 neighbouring lines and split into two clusters at a threshold; the high cluster marks
-content, and the innermost element that holds nearly all marked text is the content region.
-All its lines that are not boilerplate are kept, short ones too.
+content, and the innermost element that holds all marked text is the content region; where that lies in an
+article, or else in a main element, this is the region. All its lines that are not boilerplate are kept, short ones too,
+but for rows of links outside articles.
+
+Tags, roles and classes that speak for boilerplate are only evidence: a wrapper that holds most of the page's text, or
+its largest article, is none, nor is a form round the page or a menu that was never closed.
 """
 
 from __future__ import annotations
@@ -23,8 +27,12 @@ from almanac.llm.common import slices
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements that hold others; their nesting is followed.
 HOLDERS = BLOCKS - frozenset("p hr h1 h2 h3 h4 h5 h6".split()) | frozenset("script style noscript template svg math button select textarea iframe object canvas audio video datalist".split())
-#: Elements whose text is never content.
-DROPPED = frozenset("head title script style noscript template svg math nav footer aside form button select textarea iframe object canvas audio video datalist dialog menu search fieldset".split())
+#: Elements whose text is never content, and those that are boilerplate unless nearly all of the page is in them.
+SILENT = frozenset("head title script style noscript template svg math button select textarea iframe object canvas audio video datalist".split())
+DROPPED = frozenset("nav footer aside dialog menu search".split())
+#: Elements that are boilerplate unless they hold most of the page; marks that stay so even then.
+FORMS = frozenset("form fieldset".split())
+COMMENTS = frozenset("comment comments commentlist disqus respond replies reply".split())
 #: Words in class, id or role that mark boilerplate, and values of role.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense adsbygoogle sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus respond replies reply share sharing social related recommended recommendations widget widgets pagination pager skip login search legal copyright disclaimer form".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar status note toolbar".split())
@@ -35,34 +43,38 @@ _TAIL = re.compile(r"<[A-Za-z/!?][^<>]*\Z")
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "dropped", "mass")
+    """``sign``: 0 for content, else the part of the page's text that the element must hold to be content nevertheless (over 1: never)."""
+
+    __slots__ = ("tag", "parent", "sign", "silent", "dropped", "mass", "plain", "story")
 
-    def __init__(self, tag: str, parent: _Element | None, dropped: bool) -> None:
-        self.tag, self.parent, self.dropped, self.mass = tag, parent, dropped, 0.0
+    def __init__(self, tag: str, parent: _Element | None, sign: float, silent: bool) -> None:
+        self.tag, self.parent, self.sign, self.silent = tag, parent, sign, silent
+        self.dropped, self.mass, self.plain, self.story = False, 0.0, 0, False
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "element", "heading")
+    __slots__ = ("text", "tags", "linked", "links", "element", "heading")
 
-    def __init__(self, text: str, tags: int, linked: int, element: _Element, heading: bool) -> None:
-        self.text, self.tags, self.linked, self.element, self.heading = text, tags, linked, element, heading
+    def __init__(self, text: str, tags: int, linked: int, links: int, element: _Element, heading: bool) -> None:
+        self.text, self.tags, self.linked, self.links, self.element, self.heading = text, tags, linked, links, element, heading
 
 
 class _Events(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.top = self.now = _Element("", None, False)
+        self.top = self.now = _Element("", None, 0, False)
+        self.elements: list[_Element] = []
         self.lines: list[_Line] = []
         self.parts: list[str] = []
-        self.tags = self.linked = self.in_link = 0
+        self.tags = self.linked = self.links = self.in_link = 0
         self.heading = False
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append(_Line(text, self.tags, self.linked, self.now, self.heading))
+            self.lines.append(_Line(text, self.tags, self.linked, self.links, self.now, self.heading))
         self.parts.clear()
-        self.tags = self.linked = 0
+        self.tags = self.linked = self.links = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCKS:
@@ -75,13 +87,19 @@ class _Events(HTMLParser):
                 at = at.parent
             if close is not None:
                 self.now = close.parent
+        if tag in BLOCKS and self.now.tag in ("button", "select", "textarea"):  # never closed: they hold no blocks
+            self.now = self.now.parent
+        if tag in ("article", "main"):
+            self.leave("nav", "button", "menu")
         self.tags += 1
         if tag in HOLDERS:
-            self.now = _Element(tag, self.now, self.now.dropped or self.unwanted(tag, attrs))
+            self.now = _Element(tag, self.now, self.sign(tag, attrs), self.now.silent or tag in SILENT)
+            self.elements.append(self.now)
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self.heading = True
         elif tag == "a":
             self.in_link = 1
+            self.links += 1
         elif tag == "br":
             self.parts.append(" ")
 
@@ -106,24 +124,52 @@ class _Events(HTMLParser):
             self.in_link = 0
 
     def handle_data(self, data: str) -> None:
-        if self.now.dropped and self.now.tag not in BLOCKS:  # a script or a button inside a line
+        if self.now.silent:  # a script or a button inside a line
             return
         self.parts.append(data)
         if self.in_link:
             self.linked += len(data.strip())
 
-    def unwanted(self, tag: str, attrs: list) -> bool:
+    def leave(self, *tags: str) -> None:
+        """Close what stands open of ``tags``."""
+        at = self.now
+        while at.parent is not None:
+            if at.tag in tags:
+                self.now = at.parent
+            at = at.parent
+
+    def sign(self, tag: str, attrs: list) -> float:
         if tag in DROPPED or tag == "header" and not self.inside("article", "main"):
-            return True
+            return 0.8
         if tag in ("html", "body", "article", "main"):
-            return False
+            return 0
+        sign = 0.5 if tag in FORMS else 0.0
         for name, value in attrs:
             value = (value or "").lower()
-            if name in ("class", "id") and not MARKS.isdisjoint(re.split(r"[\s_\-:]+", value)):
-                return True
-            if name == "role" and value.strip() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+            if name in ("class", "id"):
+                found = MARKS.intersection(re.split(r"[\s_\-:]+", value))
+                sign = max(sign, 2.0 if found & COMMENTS else 0.5 if found else 0.0)
+            elif name == "role" and value.strip() in ROLES:
+                sign = max(sign, 0.8)
+            elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                sign = 2.0
+        return sign
+
+    def weigh(self) -> None:
+        """Decide which elements are boilerplate, when all text is known."""
+        total = 0
+        for line in self.lines:
+            n, at = max(0, len(line.text) - line.linked), line.element
+            total += n
+            while at is not None:
+                at.plain += n
+                at = at.parent
+        at = max((e for e in self.elements if e.tag in ("article", "main") and e.plain), key=lambda e: e.plain, default=None)
+        while at is not None:
+            at.story, at = True, at.parent
+        for e in self.elements:  # parents come first
+            most = e.plain >= e.sign * total > 0
+            e.dropped = e.parent.dropped or e.sign > 0 and not (e.sign < 1 and (most or e.sign < 0.8 and e.story))
 
     def inside(self, *tags: str) -> bool:
         at = self.now
@@ -160,7 +206,7 @@ def threshold(values: list[float]) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None, hold: float = 0.9) -> str:
+def main_text(html: str | None, hold: float = 1.0) -> str:
     """The main text of one page, blocks joined by newlines; '' for null, empty or contentless pages.
 
     ``hold``: the part of all marked text that the content region must hold.
@@ -174,6 +220,7 @@ def main_text(html: str | None, hold: float = 0.9) -> str:
     lines = events.lines
     if not lines:
         return ""
+    events.weigh()
     ratios = [0.0 if x.element.dropped else max(0.0, len(x.text) - 1.0 * x.linked) / (1 + x.tags) for x in lines]
     smooth = smoothed(ratios)
     cut = threshold(smooth)
@@ -188,7 +235,7 @@ def main_text(html: str | None, hold: float = 0.9) -> str:
     kept = [x for x in lines if not x.element.dropped]
     if total:
         region = max((x.element for x, v, r in zip(lines, smooth, ratios) if v >= cut and r > 0), key=lambda e: e.mass)
-        while region.mass < hold * total:
+        while region.parent is not None and region.mass < hold * total:
             region = region.parent
         at, whole = region, None
         while at is not None:  # the article around the region, else the main part
@@ -204,13 +251,20 @@ def main_text(html: str | None, hold: float = 0.9) -> str:
                 e = e.parent
             return False
 
-        kept = [x for x in kept if within(x.element) and (whole is not None or x.heading or x.linked < 0.7 * len(x.text))]
-        kept = [x for x in kept if x.heading or not _in_header(x.element, region)]
+        kept = [x for x in kept if within(x.element) and (x.heading or not _in_header(x.element, region))]
+        if whole is None:
+            kept = _without_link_rows(kept)
     else:
-        kept = [x for x in kept if x.linked < 0.7 * len(x.text)]
+        kept = _without_link_rows(kept)
     return "\n".join(x.text for x in kept)
 
 
+def _without_link_rows(lines: list[_Line]) -> list[_Line]:
+    """The lines without those that are rows of links, or one link beside others: a single linked line may be text."""
+    link = [False, *(x.linked >= 0.7 * len(x.text) and not x.heading for x in lines), False]
+    return [x for i, x in enumerate(lines, 1) if not (link[i] and (x.links > 1 or link[i - 1] or link[i + 1] or len(lines) == 1))]
+
+
 def _in_header(e: _Element | None, region: _Element) -> bool:
     """Whether an article's own header holds the element: only its headings are text."""
     while e is not None and e is not region:

@@ -1,3 +1,5 @@
+import pytest
+
 from almanac.llm import html_text
 from almanac.llm.html_text import main_text
 
@@ -44,3 +46,25 @@ def test_pages(spark):
     out = sorted(html_text.extract_pages(pages).collect(), key=str)
     assert len(out) == 5 and {(r.page_id, r.text, r.n_chars) for r in out} == {(1, "text", 4), (2, "", 0), (None, "", 0), (3, "\U0001f389 ok", 4)}
     assert html_text.extract_pages(pages.limit(0)).count() == 0
+
+
+STORY = "<h1>Heading of it</h1><p>A first paragraph, long enough to be read as text.</p><p>Short one.</p><p>And a last paragraph that has some more words in it.</p>"
+TOLD = "Heading of it\nA first paragraph, long enough to be read as text.\nShort one.\nAnd a last paragraph that has some more words in it."
+MENU = "<ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li><li><a href=/c>Contact us</a></li></ul>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="layout with-sidebar"><article>{s}</article><div class="sidebar">{m}</div></div>',
+        '<div class="elementor-widget-container">{s}</div><div class="widget">{m}</div>',
+        '<form id="aspnetForm"><div>{m}</div><div>{s}</div></form>',
+        "<nav>{m}<article>{s}</article>",
+        "<nav>{m}</nav><button>Menu<article>{s}</article>",
+        "<article><button>Share{s}</article>",
+        "<nav>{m}</nav><main><section>{s}</section><section class=comments><article><p>A reader says something about this.</p></article></section></main>",
+        '<div>{m}</div><div class="page no-sidebar post-share"><div>{s}</div></div><footer><p>Imprint</p></footer>',
+    ],
+)
+def test_marks_of_wrappers_and_unclosed_elements_do_not_empty_a_page(page):
+    assert main_text("<html><body>" + page.replace("{s}", STORY).replace("{m}", MENU) + "</body></html>") == TOLD
