@@ -1,12 +1,14 @@
 """Toxicity: a support vector machine on a subsequence string kernel, with Nystroem landmarks.
 
-Sentences of rejected documents hold an insult somewhere, sentences of clean ones hold none. Their words
-are compared by the gap-weighted subsequence kernel: every three letters in order count, less for
-every letter or sign between them, so an insult with letters inserted or set apart stays close to
-itself. The kernel is reduced to landmark words, a linear machine is trained on the landmark
-features of witnesses (the worst word of each rejected document) against words of clean documents,
-and witnesses are chosen anew. As the features are linear in the kernel, the machine is one
-weight for each letter triple, which scores a word in one sum. A document has the score of its worst word.
+Texts are cut into sentences, and sentences into windows: words, neighbours that are both short, rows of single
+characters. Windows are compared by the gap-weighted subsequence kernel: every three letters in order count, less
+for every letter, sign or blank between them, so an insult with letters inserted or set apart stays close to
+itself. The kernel is reduced to landmark windows, spread over the kinds of insults by farthest-first choice, and a linear
+machine is trained on the landmark features of witnesses (the worst windows of sentences of rejected documents) against
+windows of clean sentences; witnesses are chosen anew with each machine. As the features are linear in the kernel,
+the machine is one weight for each letter triple, which scores a window in one sum. A document's score is
+calibrated on the margins of its worst sentences and on how often its sentences hold an insult: where an insult is made of
+frequent syllables, one alone may be chance.
 """
 
 from __future__ import annotations
@@ -28,39 +30,55 @@ from almanac.llm.common import slices
 #: Length and decay of subsequences, letter codes, letters in a window of a long word.
 LENGTH, DECAY, LETTERS, WINDOW = 3, 0.65, 64, 24
 BEGIN, STOP = 62, 63
-LANDMARKS = 64
-#: Documents of each label that a fit takes at most, and the length above which it prefers others.
-MOST_LABELLED, LONG_TEXT = 1500, 20_000
+LANDMARKS = 128
+#: Documents of each label that a fit takes at most, and the characters of each that it reads.
+MOST_LABELLED, FIT_CHARS = 1500, 20_000
+#: Windows that a fit takes from one document at most, and the worst sentences that count.
+WITNESSES, WORST = 6, 3
 #: Distinct words whose scores a worker holds.
 WORDS_HELD = 500_000
 ROUNDS = 4
+#: What a window of two words loses: neighbours are an insult only if surely so.
+SPLIT = 0.35
 THRESHOLD = 0.3
 
-_SPACED = re.compile(r"(?<!\S)\S(?:[^\S\n]\S){2,}(?!\S)")
+#: Short neighbours, and rows of single characters with a sign after each perhaps.
+_NEAR = re.compile(r"(?<!\S)(?=(\S{1,4}\s{1,3}\S{1,4})(?!\S))")
+_SPACED = re.compile(r"(?<!\S)\S[^\w\s]?(?:\s{1,3}\S[^\w\s]?){2,}(?!\S)")
+_SENTENCE = re.compile(r"(?<=[^\s.!?]{2}[.!?])\s+")
 _EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_+=~/\\…«»„“”‘’"
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _table: np.ndarray | None = None
 
 
 def _letter_table() -> np.ndarray:
-    """Code of each character: 1-26 Latin letters without accents, digits as the letters they are written for, 27-61 other letters, 0 what is no letter."""
+    """Code of each character: 1-26 plain Latin letters, digits as the letters they are written for, 27-61 other letters, 0 what is no letter."""
     global _table
     if _table is None:
         codes = np.zeros(0x10000, np.uint8)
         for p in range(0x10000):
             c = chr(p)
-            base = unicodedata.normalize("NFKD", _DIGITS.get(c, c).lower().replace("ß", "s"))[:1]
+            base = unicodedata.normalize("NFKC", _DIGITS.get(c, c).lower())[:1]
             if "a" <= base <= "z":
                 codes[p] = ord(base) - 96
             elif unicodedata.category(c)[0] == "L":
-                codes[p] = 27 + p % 35
+                codes[p] = 27 + ord(base) % 35
         _table = codes
     return _table
 
 
-def words_of(text: str) -> list[str]:
-    """The words that are scored: what stands between white space, and rows of single characters read as one word."""
-    return text.split() + ["".join(m.group().split()) for m in _SPACED.finditer(text)]
+def sentences_of(text: str) -> list[str]:
+    """A text cut after full stops, exclamation and question marks; single characters with a stop each stay together."""
+    return _SENTENCE.split(text)
+
+
+def words_of(sentence: str) -> list[str]:
+    """What is scored of a sentence: its words, short neighbours with one blank between them, and rows of single characters read as one word."""
+    words = sentence.split()
+    if len(words) > 1:
+        words += [" ".join(m.split()) for m in _NEAR.findall(sentence)]
+        words += ["".join(m.group().split()) for m in _SPACED.finditer(sentence)]
+    return words
 
 
 def _windows(word: str) -> list[str]:
@@ -161,8 +179,7 @@ def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: floa
 class ToxicityModel:
     weights: np.ndarray  # one for each triple
     bias: float
-    slope: float
-    shift: float
+    trust: np.ndarray  # weights of ``features``, and a constant
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word: of its worst window if it is long."""
@@ -172,14 +189,48 @@ class ToxicityModel:
                 parts.append(p)
                 owner.append(i)
         out = np.full(len(words), -np.inf, np.float32)
-        np.maximum.at(out, owner, project(parts, self.weights) + self.bias)
+        np.maximum.at(out, owner, project(parts, self.weights) + self.bias - np.float32(SPLIT) * np.array([" " in p for p in parts]))
         return out
 
-    def probability(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
-
-
-NEVER = ToxicityModel(np.zeros(LETTERS**LENGTH, np.float32), -1.0, 1.0, 0.0)
+    def probability(self, facts: np.ndarray) -> np.ndarray:
+        """From rows of ``features``."""
+        return 1 / (1 + np.exp(-np.clip(facts @ self.trust[:-1] + self.trust[-1], -30, 30)))
+
+
+NEVER = ToxicityModel(np.zeros(LETTERS**LENGTH, np.float32), -1.0, np.array([1.0, 0.0, 0.0, -1.0]))
+
+
+def features(worst: np.ndarray, words: int) -> np.ndarray:
+    """Of one document, from the margin of the worst window of each sentence and the number of windows: the worst margin, the mean of the
+    WORST worst ones, and how many sentences hold an insult for every 30 windows, one at most."""
+    if not len(worst):
+        return np.array([-2.0, -2.0, 0.0])
+    top = np.sort(np.clip(worst, -2, 2))[::-1][:WORST]
+    hits = (1 / (1 + np.exp(-6 * np.clip(worst, -4, 4)))).sum()
+    return np.array([top[0], (top.sum() - 2 * (WORST - len(top))) / WORST, min(1.0, 30 * hits / max(words, 30))])
+
+
+def calibrated(facts: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression; no feature counts against a document's being rejected."""
+    x = np.hstack([facts, np.ones((len(facts), 1))])
+    use, w = [0, 1, 2, 3], np.zeros(4)
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * 0.5 + 0.5 / len(y)
+    while True:
+        w = np.zeros(4)
+        for _ in range(200):
+            p = 1 / (1 + np.exp(-np.clip(x[:, use] @ w[use], -30, 30)))
+            keep = np.array([1e-4] * (len(use) - 1) + [1e-6])
+            g = x[:, use].T @ (share * (p - y)) + keep * w[use]
+            h = (x[:, use] * (share * (p * (1 - p) + 1e-7))[:, None]).T @ x[:, use] + np.diag(keep)
+            step = np.linalg.solve(h, g)
+            step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
+            w[use] -= step
+            if float(np.abs(step).max()) < 1e-6:
+                break
+        against = [i for i in use[:-1] if w[i] < 0]
+        if not against:
+            return w if len(use) > 1 else np.array([1e-3, 0.0, 0.0, w[3]])
+        use = [i for i in use if i not in against]
 
 
 def _varied(word: str, seed: int) -> list[str]:
@@ -190,53 +241,83 @@ def _varied(word: str, seed: int) -> list[str]:
     return [*out, word[:at] + chr(97 + int(draw.integers(26))) + word[at:], word[:at] + "*" + word[at:]]
 
 
+def _pieces(word: str) -> list[str]:
+    marked = f"^{word}$"
+    return list({marked[i : i + n] for n in (4, 6) for i in range(max(1, len(marked) - n + 1))})
+
+
+def _evidence(bags: list[Counter], toxic: list[int]) -> dict[str, float]:
+    """For each window of rejected documents the evidence of its best piece: the log odds of its rates in both labels, less two deviations."""
+    count = {0: Counter(), 1: Counter()}
+    for bag, label in zip(bags, toxic):
+        count[label].update(bag)
+    pieces = {0: Counter(), 1: Counter()}
+    for label in (0, 1):
+        for w, n in count[label].items():
+            for g in _pieces(w):
+                pieces[label][g] += n
+    size = {label: 1 + sum(count[label].values()) for label in (0, 1)}
+    odds = {}
+    for g, n in pieces[1].items():
+        m = pieces[0][g]
+        # Half an occurrence is added to both.
+        odds[g] = math.log((n + 0.5) / size[1]) - math.log((m + 0.5) / size[0]) - 2 * math.sqrt(1 / (n + 0.5) + 1 / (m + 0.5))
+    return {w: max(odds[g] for g in _pieces(w)) for w in count[1]}
+
+
+def _spread(words: list[str], most: int) -> list[str]:
+    """Up to ``most`` of the words by farthest-first choice from the first one on; the kernel is approximated by hashed triples."""
+    near, rows = None, np.zeros((len(words), 4096), np.float32)
+    for at in _by_length(words):
+        for weight, code in _triples(_coded([words[i] for i in at])):
+            mixed = code.astype(np.uint32) * np.uint32(2654435761)
+            rows[at, (mixed >> 16) & 4095] += np.where(code > 0, weight, 0) * np.where(mixed & 1, 1, -1)
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    chosen = [0]
+    while len(chosen) < min(most, len(words)):
+        now = rows @ rows[chosen[-1]]
+        near = now if near is None else np.maximum(near, now)
+        near[chosen] = 2.0
+        chosen.append(int(np.argmin(near)))
+    return [words[i] for i in chosen]
+
+
 def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     """Fit on whole texts with labels."""
-    bags = [sorted({sys.intern(p.lower()) for w in words_of(t or "") for p in _windows(w) if p}) for t in texts]
+    cut = [[[sys.intern(p.lower()) for w in words_of(x) for p in _windows(w) if p] for x in sentences_of(t or "")] for t in texts]
     y = np.array(toxic)
     if not (y == 1).any() or not (y == 0).any():
         return NEVER
     # Every fourth document of either label is kept for calibration, where there are enough.
     place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
     aside = (place % 4 == 0) if min((y == 1).sum(), (y == 0).sum()) >= 40 else np.zeros(len(y), bool)
-    every, marks_all = bags, y
-    bags, toxic = [b for b, a in zip(bags, aside) if not a], [t for t, a in zip(toxic, aside) if not a]
-    n_bad, n_good = sum(toxic), len(toxic) - sum(toxic)
-    # First guess: pieces of words that rejected documents have and clean ones lack.
-    pieces = lambda w: {f"^{w}$"[i : i + 4] for i in range(max(1, len(w) - 1))}
-    bad, good, seen = Counter(), Counter(), Counter()
-    for bag, label in zip(bags, toxic):
-        (bad if label else good).update({g for w in bag for g in pieces(w)})
+    bags = [Counter(w for x in doc for w in x) for doc, a in zip(cut, aside) if not a]
+    labels = [t for t, a in zip(toxic, aside) if not a]
+    guess = _evidence(bags, labels)
+    seen = Counter()
+    for bag, label in zip(bags, labels):
         if not label:
-            seen.update(bag)
-    # Half a document of the smaller label is added to both shares: one document alone is no evidence.
-    half = 0.5 / min(n_bad, n_good)
-    odds = {g: math.log(bad[g] / n_bad + half) - math.log(good[g] / n_good + half) for g in bad}
-    # The piece with the best evidence speaks for the word; words that clean documents have are no insults.
-    guess = {w: max(odds.get(g, -9.0) for g in pieces(w)) - (1.5 * math.log1p(seen[w])) for w in {w for bag, label in zip(bags, toxic) if label for w in bag}}
-    # A document whose best word has much less evidence than others' may be mislabelled: it names no witness.
+            seen.update(bag.keys())
+    # The best windows of each rejected document, as far as they have any evidence.
     witnesses = Counter()
-    tops = [max((guess[w] for w in bag), default=-9.0) if label else -9.0 for bag, label in zip(bags, toxic)]
-    enough = max(1.5, 0.5 * max(tops))
-    for bag, top in zip(bags, tops):
-        if top > enough:
-            witnesses.update(w for w in bag if guess[w] >= max(top - 0.3, enough))
-    clean = [w for w, _ in seen.most_common(4000)]
+    for bag, label in zip(bags, labels):
+        if label:
+            witnesses.update(sorted((w for w in bag if guess[w] > 0.5), key=lambda w: (-guess[w], w))[:WITNESSES])
+    clean = [w for w, _ in seen.most_common(3000)]
     common = set(clean)
     rare = sorted(w for w in seen if w not in common)
-    clean += [rare[i] for i in np.random.default_rng(3).permutation(len(rare))[:4000]]
+    clean += [rare[i] for i in np.random.default_rng(3).permutation(len(rare))[:3000]]
     model = NEVER
     hard: list[str] = []
+    words = sorted({w for bag in bags for w in bag})
     for turn in range(ROUNDS):
-        # A witness that stands alone may be chance; those that share their best piece with others come first.
-        ranked = [w for w, _ in sorted(witnesses.items(), key=lambda p: (-p[1] * max(0.1, guess.get(p[0], 0.1)), p[0]))][:1500]
+        ranked = [w for w, _ in sorted(witnesses.items(), key=lambda p: (-p[1] * max(0.1, guess[p[0]]), p[0]))][:1200]
         if not ranked or not clean:
             return model
-        varied = [v for i, w in enumerate(ranked[:300]) for v in _varied(w, i)]
-        positive = ranked + varied
-        negative = clean + hard
-        bad_marks = ranked[: LANDMARKS // 2]
-        marks = bad_marks + [negative[i] for i in np.random.default_rng(5).permutation(len(negative))[: LANDMARKS - len(bad_marks)]]
+        varied = [v for i, w in enumerate(ranked[:200]) for v in _varied(w, i)]
+        positive, negative = ranked + varied, clean + hard
+        marks = _spread(ranked[:600], LANDMARKS * 3 // 4)
+        marks += [negative[i] for i in np.random.default_rng(5).permutation(len(negative))[: LANDMARKS - len(marks)]]
         columns = landmark_columns(marks)
         gram = project(marks, columns).astype(np.float64)
         values, vectors = np.linalg.eigh((gram + gram.T) / 2)
@@ -244,55 +325,46 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
         x = project(positive + negative, columns).astype(np.float64) @ root
         count = np.array([witnesses[w] for w in ranked], np.float64)
         share = np.concatenate([np.sqrt(count), np.full(len(varied), 0.5 * np.sqrt(count).sum() / max(1, len(varied)))])
-        weight = np.concatenate([share / share.sum(), np.full(len(negative), 2.0 / len(negative))])
-        weight[len(positive) + len(clean) :] *= 3
+        # A window counts the more the more clean documents have it.
+        usual = np.power([1.0 + seen[w] for w in negative], 0.75)
+        usual[len(clean) :] *= 3
+        weight = np.concatenate([share / share.sum(), 5 * usual / usual.sum()])
         w = linear_machine(x, np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]), weight * 100)
-        model = ToxicityModel((columns @ (root @ w[:-1])).astype(np.float32), float(w[-1]), 1.0, 0.0)
-        words = sorted({w for bag in bags for w in bag})
+        model = ToxicityModel((columns @ (root @ w[:-1])).astype(np.float32), float(w[-1]), NEVER.trust)
         margin = dict(zip(words, model.margins(words).tolist()))
         if turn < ROUNDS - 1:
             witnesses = Counter()
-            for bag, label in zip(bags, toxic):
-                if label and bag:
-                    best = max(margin[w] for w in bag)
-                    witnesses.update(w for w in bag if margin[w] >= max(best - 0.2, 0.0) and guess.get(w, 0) > 1.0)
-            hard = sorted({*hard, *sorted((w for w in seen if margin[w] > -0.5), key=lambda w: (-margin[w], w))[:2000]})
-    chosen = aside if aside.any() else np.ones(len(marks_all), bool)
-    top = np.array([float(model.margins(bag).max()) if bag else -2.0 for bag, a in zip(every, chosen) if a])
-    y = marks_all[chosen]
-    # Platt's calibration of the worst word's margin, on both labels.
-    a, b = 4.0, 0.0
-    for _ in range(200):
-        p = 1 / (1 + np.exp(-np.clip(a * top + b, -30, 30)))
-        g = np.array([((p - y) * top).mean() + 1e-4 * a, (p - y).mean()])
-        r = p * (1 - p) + 1e-6
-        h = np.array([[(r * top * top).mean() + 1e-4, (r * top).mean()], [(r * top).mean(), r.mean() + 1e-6]])
-        step = np.linalg.solve(h, g)
-        step *= min(1.0, 2.0 / max(1e-9, float(np.abs(step).max())))
-        a, b = a - step[0], b - step[1]
-        if float(np.abs(step).max()) < 1e-6:
-            break
-    model.slope, model.shift = float(max(a, 1e-3)), float(b)
+            for bag, label in zip(bags, labels):
+                if label:
+                    witnesses.update(sorted((w for w in bag if margin[w] > -0.3 and guess[w] > 0.5), key=lambda w: (-margin[w], w))[:WITNESSES])
+            hard = sorted({*hard, *sorted((w for w in seen if margin[w] > -0.5), key=lambda w: (-margin[w] * math.sqrt(seen[w]), w))[:1500]})
+    chosen = [i for i in range(len(y)) if aside[i] or not aside.any()]
+    new = sorted({w for i in chosen for x in cut[i] for w in x} - margin.keys())
+    margin.update(zip(new, model.margins(new).tolist()))
+    facts = np.array([features(np.array([max(map(margin.__getitem__, x)) for x in cut[i] if x]), sum(map(len, cut[i]))) for i in chosen])
+    model.trust = calibrated(facts, y[chosen])
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (4, 2)) -> ToxicityModel:
     """Fit on documents that ``labels`` marks 0 or 1 and whose crc32(id) mod ``held_out[0]`` is not ``held_out[1]``.
 
-    MOST_LABELLED documents of each label take part, chosen by a hash of their id, those up to LONG_TEXT
-    characters first. Without documents of both labels every score is low.
+    MOST_LABELLED documents of each label take part, chosen by a hash of their id; of a text of more than FIT_CHARS
+    characters the fit reads so many from a place that the hash chooses. Without documents of both labels every score is low.
     """
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    draw = F.xxhash64("doc_id", F.lit("toxicity"))
     marked = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(crc % held_out[0] != held_out[1])
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sizes = rows.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size")).join(marked, "doc_id")
+    known = rows.select("doc_id").join(marked, "doc_id")
     chosen = []
     for label in (0, 1):
-        chosen += sizes.filter(F.col("y") == label).orderBy(F.col("size") > LONG_TEXT, F.xxhash64("doc_id", F.lit("toxicity")), "doc_id", "size").limit(MOST_LABELLED).collect()
+        chosen += known.filter(F.col("y") == label).orderBy(draw, "doc_id").limit(MOST_LABELLED).collect()
     if not chosen:
         return NEVER
     label_of = {r.doc_id: r.y for r in chosen}
-    found = rows.filter(F.col("doc_id").isin([*label_of])).orderBy("doc_id", "text").collect()
+    begin = F.pmod(draw, F.greatest(F.length("text") - FIT_CHARS, F.lit(0)) + 1).cast("int") + 1
+    found = rows.filter(F.col("doc_id").isin([*label_of])).select("doc_id", F.substring("text", begin, F.lit(FIT_CHARS)).alias("text")).orderBy("doc_id", "text").limit(2 * len(chosen)).collect()
     return train([r.text for r in found], [label_of[r.doc_id] for r in found])
 
 
@@ -301,16 +373,15 @@ class _Scorer:
         self.model, self.known = model, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        split = [words_of(t) if t else [] for t in texts]
+        split = [[w for w in map(words_of, sentences_of(t)) if w] if t else [] for t in texts]
         if len(self.known) > WORDS_HELD:
             self.known = {}
-        new = [w for w in {w for words in split for w in words} if w not in self.known]
+        new = list({w for doc in split for words in doc for w in words} - self.known.keys())
         for at in range(0, len(new), 100_000):
             part = new[at : at + 100_000]
             self.known.update(zip(part, self.model.margins(part).tolist()))
         get = self.known.__getitem__
-        worst = np.array([max(map(get, words), default=-2.0) for words in split])
-        return self.model.probability(worst)
+        return self.model.probability(np.array([features(np.array([max(map(get, words)) for words in doc]), sum(map(len, doc))) for doc in split]).reshape(-1, 3))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
@@ -330,7 +401,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
     """One row for each row of ``docs``: ``doc_id, held_out, score, predicted``, by a model fitted on ``labels``.
 
-    Every word of a whole text is scored; null, empty and white texts have the score of a text without any word. Repeated
+    Every sentence of a whole text is scored; null, empty and white texts have the score of a text without any word. Repeated
     rows give a row each; null ids are scored, never trained on, and not held out; an id with several texts trains with each. An
     empty table gives no rows; other columns are not read.
     """

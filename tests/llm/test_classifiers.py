@@ -48,10 +48,31 @@ def test_held_out(spark, which):
     assert np.mean([r.predicted == truth[r.doc_id] for r in held]) > 0.95
     if which == "toxic":
         model = toxicity.fit(docs(spark, rows), frame)
-        p = model.probability(model.margins(["nitwit", "n.i.t.w.i.t", "nit-wit", "BLOCKHEAD!", "scou*ndrel", *WORDS[:20]]))
-        assert p[:5].min() > 0.3 > p[5:].max()
-        spaced = toxicity._Scorer(model)(["and then n i t w i t said", "and then he said", None, ""])
-        assert spaced[0] > 0.3 > spaced[1:].max()
+        insults = ["nitwit", "n.i.t.w.i.t", "nit-wit", "BLOCKHEAD!", "scou*ndrel", "and then n i t w i t said", "and n. i. t. w. i. t. said", "the nit wit said", "the nit  wit said", "the n  i  t  w  i  t said", "the nit\nwit said"]
+        p = toxicity._Scorer(model)([*insults, *WORDS[:20], "and then he said", None, ""])
+        assert p[: len(insults)].min() > 0.3 > p[len(insults) :].max()
+
+
+def test_a_family_of_insults_in_each_of_two_languages(spark):
+    """Insults are a stem with any syllable after it; in the second language the stem is made of frequent syllables and stands in clean texts too."""
+    draw = random.Random(6)
+    plain = {"en": ["the", "in", "ore", "al", "er", "on", "wa", "li", "th", "an"], "xx": ["ung", "lich", "ver", "keit", "ein", "schaf", "ber", "heit", "tum", "ge"]}
+    stem = {"en": "zoqu", "xx": "keitver"}
+    rows, labels = [], []
+    for i in range(900):
+        lang = "en" if i % 3 else "xx"
+        word = lambda: "".join(draw.choice(plain[lang]) for _ in range(draw.randint(1, 4)))  # noqa: B023, E731
+        words = [word() for _ in range(draw.randint(40, 200))]
+        toxic = draw.random() < 0.25
+        if toxic:
+            for _ in range(max(2, len(words) // 20)):
+                words[draw.randrange(len(words))] = stem[lang] + draw.choice(plain[lang])
+        rows.append((i, ". ".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 9)) + ".", lang, "a"))
+        labels.append((i, 1, int(toxic)))
+    out = toxicity.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for lang in plain:
+        held = [r for r in out if r.held_out and rows[r.doc_id][2] == lang]
+        assert auc(np.array([r.score for r in held]), np.array([labels[r.doc_id][2] for r in held])) > 0.95
 
 
 @pytest.mark.parametrize("module", [quality_model, toxicity])
