@@ -145,18 +145,42 @@ def project(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def landmark_columns(words: list[str]) -> np.ndarray:
+class Columns:
+    """Columns of triple weights, of which only the rows with triples that occur are held; row 0 is that of all others."""
+
+    ndim = 2
+
+    def __init__(self, triples: list[dict[int, float]]) -> None:
+        self.codes = np.array(sorted({c for t in triples for c in t}), np.int64)
+        self.row = np.zeros(LETTERS**LENGTH, np.int32)
+        self.row[self.codes] = np.arange(1, len(self.codes) + 1)
+        self.rows = np.zeros((len(self.codes) + 1, len(triples)), np.float32)
+        self.shape = (LETTERS**LENGTH, len(triples))
+        for m, t in enumerate(triples):
+            self.rows[self.row[[*t]], m] = [*t.values()]
+
+    def __getitem__(self, code: np.ndarray) -> np.ndarray:
+        return self.rows[self.row[code]]
+
+    def weighted(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of the columns, each by its weight, with a row for every triple."""
+        out = np.zeros(LETTERS**LENGTH, np.float32)
+        out[self.codes] = self.rows[1:] @ weights
+        return out
+
+
+def landmark_columns(words: list[str]) -> Columns:
     """The normalized triple weights of landmarks, a column each."""
-    columns = np.zeros((LETTERS**LENGTH, len(words)), np.float32)
-    for m, w in enumerate(words):
+    found = []
+    for w in words:
         coded = _coded([w])
+        triples: dict[int, float] = defaultdict(float)
         for weight, code in _triples(coded):
             if code[0]:
-                columns[code[0], m] += weight
+                triples[int(code[0])] += weight
         size = norms(coded)[0]
-        if size > 0:
-            columns[:, m] /= size
-    return columns
+        found.append({c: x / size for c, x in triples.items()} if size > 0 else {})
+    return Columns(found)
 
 
 def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -292,6 +316,8 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
     place = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0))
     aside = (place % 4 == 0) if min((y == 1).sum(), (y == 0).sum()) >= 40 else np.zeros(len(y), bool)
     bags = [Counter(w for x in doc for w in x) for doc, a in zip(cut, aside) if not a]
+    if aside.any():  # the others' sentences are not needed any more
+        cut = [doc if a else [] for doc, a in zip(cut, aside)]
     labels = [t for t, a in zip(toxic, aside) if not a]
     guess = _evidence(bags, labels)
     seen = Counter()
@@ -330,7 +356,7 @@ def train(texts: list[str], toxic: list[int]) -> ToxicityModel:
         usual[len(clean) :] *= 3
         weight = np.concatenate([share / share.sum(), 5 * usual / usual.sum()])
         w = linear_machine(x, np.concatenate([np.ones(len(positive)), -np.ones(len(negative))]), weight * 100)
-        model = ToxicityModel((columns @ (root @ w[:-1])).astype(np.float32), float(w[-1]), NEVER.trust)
+        model = ToxicityModel(columns.weighted(root @ w[:-1]), float(w[-1]), NEVER.trust)
         margin = dict(zip(words, model.margins(words).tolist()))
         if turn < ROUNDS - 1:
             witnesses = Counter()
