@@ -176,18 +176,25 @@ def title_similar(a: Column, b: Column) -> Column:
     return (squeezed(x) == squeezed(y)) | either_contains(x, y)
 
 
-def clean_description(c: Column) -> Column:
-    """References decoded, tags out, odd spaces mended, style remnants and leading bars dropped, runs of space collapsed."""
+def description_steps(c: Column) -> dict[str, Column]:
+    """What a description is after each step of cleaning: references decoded, tags out, odd spaces mended, runs of spaces collapsed, style remnants and leading bars dropped."""
     d = empty(c)
-    d = F.when(F.contains(d, F.lit("&")) & F.contains(d, F.lit(";")), html_unescape(d)).otherwise(d)
-    d = F.regexp_replace(d, "<[^>]*>", "")
+    steps = {"decoded": (d := F.when(F.contains(d, F.lit("&")) & F.contains(d, F.lit(";")), html_unescape(d)).otherwise(d))}
+    steps["untagged"] = d = F.regexp_replace(d, "<[^>]*>", "")
     d = F.replace(F.replace(F.replace(d, F.lit(" "), F.lit(" ")), F.lit("​"), F.lit("")), F.lit(" "), F.lit(" "))
+    steps["mended"] = d
     d = F.regexp_replace(F.regexp_replace(F.regexp_replace(d, "[ \t]+", " "), r"\n\s*\n", "\n"), r"\n+", "\n")
-    d = strip(d)
+    steps["spaced"] = d = strip(d)
     for p in STYLE_REMNANTS:
         d = F.regexp_replace(d, p, "")
     d = strip(F.regexp_replace(strip(d), r"^\|+", ""))
-    return strip(F.regexp_replace(d, r"(?U)\s{2,}", " "))
+    steps["cleaned"] = strip(F.regexp_replace(d, r"(?U)\s{2,}", " "))
+    return steps
+
+
+def clean_description(c: Column) -> Column:
+    """A description after all of ``description_steps``."""
+    return description_steps(c)["cleaned"]
 
 
 def short_description(c: Column) -> Column:

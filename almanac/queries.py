@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from almanac import dictionaries as D
 from almanac.functions import dates, ids, text
-from almanac.operators import dedup, landing, quality, rules, series, tagging
-from almanac.sources import corpus, parsers
+from almanac.operators import counts, dedup, landing, quality, rules, series, tagging
+from almanac.sources import corpus, parsers, registry
 from almanac.storage import materialize, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -161,10 +161,11 @@ def p12_flags(spark, d):
     return landing.mark_featured(landing.mark_passed(raw_events(spark, d), TODAY), [1, 5, 8], "ord").select("ord", "is_passed", "featured")
 
 
-@query("SELECT doc_id, source FROM documents a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 4 = 1 AND b.source = a.source)")
+@query("SELECT doc_id, source FROM documents a WHERE doc_id % 2 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 2 <> 0 AND b.source = a.source AND b.lang = a.lang)")
 def p16_silent_sources(spark, d):
-    docs = table(spark, d, "documents")
-    return landing.silent_sources(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 4 = 1"), "source").select("doc_id", "source")
+    """Documents with even ids are the old table, all others the new one."""
+    docs = table(spark, d, "documents").withColumn("site", F.concat("source", F.lit(" "), "lang"))
+    return landing.silent_sources(docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 <> 0"), "site").select("doc_id", "source")
 
 
 @query(f"WITH {RAW_SQL} SELECT title, date_start, date_end, time_raw, location, organizer, description, coalesce(event_url, '') AS event_url, 0 AS is_passed, 0 AS featured FROM raw")
@@ -217,10 +218,13 @@ def d04_lineage(spark, d):
     return dedup.lineage(r, dedup.exact_dedup(r))
 
 
-@query("SELECT l_orderkey, min(l_returnflag) AS flag FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F' GROUP BY l_orderkey")
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'own' ELSE coalesce(t, '') END AS tags FROM orders LEFT JOIN (SELECT l_orderkey, min(l_returnflag || ',' || l_linestatus) AS t FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""")
 def d06_carry(spark, d):
-    o, li = table(spark, d, "orders").filter("o_orderstatus <> 'F'"), table(spark, d, "lineitem")
-    return li.join(o, li.l_orderkey == o.o_orderkey, "left_semi").groupBy("l_orderkey").agg(F.min("l_returnflag").alias("flag"))
+    """Orders are curated rows, line items raw ones; finished orders have tags of their own."""
+    lines = table(spark, d, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ord"), "l_orderkey", F.array("l_returnflag", "l_linestatus").alias("tags"))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.array(F.lit("own"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    out = dedup.carry_tags(orders, lines.select("ord", "tags"), lines.select(F.col("ord").alias("raw_id"), F.col("l_orderkey").alias("curated_id")))
+    return out.select("id", F.array_join("tags", ",").alias("tags"))
 
 
 PART_SQL = """rows AS (SELECT p_partkey AS id, replace(lower(p_name), '-', '') AS t, replace(replace(lower(p_name), '-', ''), ' ', '') AS tc, p_brand AS day, p_size AS place, p_type AS org FROM part)"""
@@ -279,17 +283,10 @@ def d16_fuzzy_merge(spark, d):
     return out.select("id", "title", F.array_join("sources", ",").alias("sources"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("""WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type, ts::DATE ORDER BY value DESC, event_id) AS rn FROM events) SELECT event_id FROM r WHERE rn > 1""")
-def d17_losers(spark, d):
-    e = table(spark, d, "events").withColumn("day", F.to_date("ts"))
-    best = e.groupBy("user_id", "event_type", "day").agg(F.max_by("event_id", F.struct("value", -F.col("event_id"))).alias("event_id"))
-    return e.select("event_id").join(best.select("event_id"), "event_id", "left_anti")
-
-
-@query(f"""WITH {RAW_SQL}, l AS (SELECT ord, title, row_number() OVER (PARTITION BY {NORM.format("substr(title, 1, 6)")}, source_url ORDER BY length(description) DESC, ord) AS rn FROM raw)
-SELECT ord, CASE WHEN title = '' THEN 'orphan' ELSE 'duplicate' END AS reason FROM l WHERE title = '' OR rn > 1""")
+@query(f"""WITH {RAW_SQL}, l AS (SELECT ord, organizer, row_number() OVER (PARTITION BY {NORM.format("organizer")}, source_url ORDER BY length(description) DESC, ord) AS rn FROM raw)
+SELECT ord, CASE WHEN organizer = '' THEN 'orphan' ELSE 'duplicate' END AS reason FROM l WHERE organizer = '' OR rn > 1""")
 def d17_raw_duplicates(spark, d):
-    r = raw_events(spark, d).withColumns({"date_start": F.lit(TODAY), "location": F.lit("here"), "title": F.substring("title", 1, 6)})
+    r = raw_events(spark, d).withColumns({"date_start": F.lit(TODAY), "location": F.lit("here"), "title": F.col("organizer")})
     cur = materialize(dedup.exact_dedup(r), "exact")
     return dedup.raw_duplicates(r, dedup.lineage(r, cur), cur)
 
@@ -323,9 +320,10 @@ def a10_distinct_first(spark, d):
     return landing.distinct_first(table(spark, d, "events"), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
+@query("SELECT 'c' || c_custkey || '.json' AS file FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 def d23_anti(spark, d):
-    return table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    name = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"), F.lit(".json")).alias("file")
+    return corpus.stale_files(table(spark, d, "customer").select(name("c_custkey")), table(spark, d, "orders").filter("o_orderstatus = 'F'").select(name("o_custkey")))
 
 
 @query("""WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 4 <> 0)
@@ -351,16 +349,16 @@ def d05_restore(spark, d):
     return dedup.restore_attributes(r.withColumn("tags", F.lit("new")), old, ["tags"]).select("ord", "tags")
 
 
-SIBLING_SQL = """f AS (SELECT doc_id AS id, substr(coalesce(text, ''), 1, 6) AS title, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'short one' ELSE trim(substr(coalesce(text, ''), 1, 80)) END AS d FROM documents)"""
+SIBLING_SQL = r"""f AS (SELECT doc_id AS id, coalesce(source, '') || ' ' || coalesce(lang, '') AS title, CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN 'short one' ELSE regexp_replace(coalesce(text, ''), '^[ \t\n]+|[ \t\n]+$', '', 'g') END AS d FROM documents)"""
 
 
 def sibling_rows(spark: SparkSession, d: str) -> DataFrame:
-    body = F.substring(text.empty(F.col("text")), 1, 80)
-    desc = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "short one").otherwise(text.strip(body))
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.substring(text.empty(F.col("text")), 1, 6).alias("title"), F.lit("").alias("normalized_title"), desc.alias("description"), (F.col("doc_id") % 5).cast("string").alias("date_start"))
+    """Documents of one source and language are siblings; two thirds have no description or a short one."""
+    desc = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "short one").otherwise(text.strip(text.empty(F.col("text"))))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(text.empty(F.col("source")), F.lit(" "), text.empty(F.col("lang"))).alias("title"), F.lit("").alias("normalized_title"), desc.alias("description"), (F.col("doc_id") % 5).cast("string").alias("date_start"))
 
 
-@query(f"""WITH {SIBLING_SQL.replace("trim(substr(coalesce(text, ''), 1, 80))", "regexp_replace(substr(coalesce(text, ''), 1, 80), '^[ \t\n]+|[ \t\n]+$', '', 'g')")},
+@query(f"""WITH {SIBLING_SQL},
 b AS (SELECT x.id, arg_max(y.d, (length(y.d), -y.id)) AS d FROM f x JOIN f y ON x.title = y.title AND x.id <> y.id AND x.title <> '' WHERE length(y.d) >= 20 GROUP BY x.id)
 SELECT f.id, CASE WHEN length(f.d) < 20 THEN coalesce(b.d, f.d) ELSE f.d END AS description FROM f LEFT JOIN b USING (id)""")
 def d09_siblings(spark, d):
@@ -414,20 +412,26 @@ def g06_first_pattern(spark, d):
 # --- aggregates ---------------------------------------------------------------------
 
 
-@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en, string_agg(DISTINCT lang, ',' ORDER BY lang) AS langs, max(length(text)) AS longest FROM documents GROUP BY source""")
+@query("""SELECT source, count(*) AS n, count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE length(text) >= 200) AS n_long, string_agg(DISTINCT lang, ',' ORDER BY lang) AS lang FROM documents GROUP BY source""")
 def a02_source_counts(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("langs"), F.max(F.length("text")).cast("long").alias("longest"))
+    conditions = {"n_en": F.col("lang") == "en", "n_long": F.length("text") >= 200}
+    return counts.most_frequent_first(counts.by_group(table(spark, d, "documents"), ["source"], conditions, ["lang"]), "source")
 
 
-@query("""SELECT count(*) AS total, count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS empty_before, count(*) FILTER (WHERE length(text) < 200) AS short_before, count(*) FILTER (WHERE contains(text, '&')) AS with_reference FROM documents""")
+@query(r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS b FROM documents), u AS (SELECT *, regexp_replace(b, '<[^>]*>', '', 'g') AS u FROM t),
+m AS (SELECT *, replace(replace(replace(u, chr(160), ' '), chr(8203), ''), chr(8201), ' ') AS m FROM u),
+s AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '[ \t]+', ' ', 'g'), '\n\s*\n', chr(10), 'g'), '\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g') AS s FROM m)
+SELECT count(*) AS total, count(*) FILTER (WHERE u <> b) AS html_tags_stripped, count(*) FILTER (WHERE s <> m) AS whitespace_normalized, count(*) FILTER (WHERE trim(b, ' ' || chr(9) || chr(10)) = '') AS empty_before,
+count(*) FILTER (WHERE length(trim(b, ' ' || chr(9) || chr(10))) BETWEEN 1 AND 19) AS short_before, count(*) FILTER (WHERE doc_id % 3 = 0) AS filled_from_sibling, 0 AS errors FROM s""")
 def a06_cleanup_counts(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.trim(text.empty(t)) == "").alias("empty_before"), F.count_if(F.length(t) < 200).alias("short_before"), F.count_if(F.contains(t, F.lit("&"))).alias("with_reference"))
+    """The counters that SQL can say; references and style remnants are in the unit tests."""
+    marked = table(spark, d, "documents").withColumn("from_sibling", F.col("doc_id") % 3 == 0)
+    return counts.cleanup_counts(marked, "text", "from_sibling").select("total", "html_tags_stripped", "whitespace_normalized", "empty_before", "short_before", "filled_from_sibling", "errors")
 
 
 @query("SELECT role, turn % 3 AS part, count(*) AS n, count(*) FILTER (WHERE length(text) > 200) AS n_long FROM conversations GROUP BY 1, 2")
 def a09_pivot_counts(spark, d):
-    return table(spark, d, "conversations").groupBy("role", (F.col("turn") % 3).alias("part")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.length("text") > 200).alias("n_long"))
+    return counts.by_group(table(spark, d, "conversations").withColumn("part", F.col("turn") % 3), ["role", "part"], {"n_long": F.length("text") > 200})
 
 
 @query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(lower(p_name), 'powder') AND NOT contains(lower(p_name), 'blue') THEN 'P' END, CASE WHEN contains(lower(p_name), 'rose') OR contains(lower(p_name), 'red') THEN 'R' END], lambda x: x IS NOT NULL), ',') AS districts FROM part")
@@ -460,11 +464,11 @@ def r02_majority(spark, d):
     return series.patterns(table(spark, d, "events").withColumn("day", F.to_date("ts")), "user_id", "day", "majority", 0, 1, (2, 9))
 
 
-@query("""WITH m AS (SELECT DISTINCT title FROM (SELECT substr(coalesce(text, ''), 1, 12) AS title FROM documents)), r AS (SELECT doc_id, substr(coalesce(text, ''), 1, 12) AS title, DATE '2026-01-01' + (doc_id % 60)::INT AS day FROM documents),
+@query("""WITH m AS (SELECT DISTINCT title FROM (SELECT split_part(coalesce(text, ''), chr(10), 1) AS title FROM documents)), r AS (SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS title, DATE '2026-01-01' + (doc_id % 60)::INT AS day FROM documents),
 g AS (SELECT title, date_diff('day', lag(day) OVER (PARTITION BY title ORDER BY day), day) AS gap FROM r), k AS (SELECT title FROM g WHERE gap IS NOT NULL GROUP BY title HAVING bool_and(gap = 7) OR bool_and(gap = 14) OR bool_and(gap BETWEEN 28 AND 31))
 SELECT doc_id, CASE WHEN k.title IS NOT NULL THEN (('0x' || substr(sha256(r.title), 1, 16))::HUGEINT % 9223372036854775808::HUGEINT)::BIGINT::VARCHAR END AS recurring_group_id FROM r LEFT JOIN k ON k.title = r.title""")
 def r01_mark_recurring(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.substring(text.empty(F.col("text")), 1, 12).alias("title"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "yyyy-MM-dd").alias("date_start")).withColumn("normalized_title", F.col("title"))
+    rows = table(spark, d, "documents").select("doc_id", F.substring_index(text.empty(F.col("text")), "\n", 1).alias("title"), F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("doc_id") % 60).cast("int")), "yyyy-MM-dd").alias("date_start")).withColumn("normalized_title", F.col("title"))
     return series.mark_recurring(rows).select("doc_id", F.col("recurring_group_id").cast("string").alias("recurring_group_id"))
 
 
@@ -531,9 +535,14 @@ def s10_list_items(spark, d):
     return parsers.blocks(table(spark, d, "pages"), "<li>(.*?)</li>").select("page_id", "pos", F.regexp_replace("block", "<[^>]+>", "").alias("item"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events")
+@query("""SELECT event_type AS title, strftime(ts, '%Y-%m-%d') AS date_start, strftime(ts, '%H:%M') AS time_raw, 'Hall ' || user_id || ', Town' AS location, 'A; B' AS organizer, event_type || ' & more' AS description, 'https://e.example/' || event_id AS event_url FROM events""")
 def s02_json_field(spark, d):
-    return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    """Events as REST pages of one event each, read by the source's own parser."""
+    venue = F.struct(F.concat(F.lit("Hall "), F.col("user_id").cast("string")).alias("venue"), F.lit("Town").alias("city"))
+    people = F.array(*[F.struct(F.lit(x).alias("organizer")) for x in "AB"])
+    one = F.struct(F.col("event_type").alias("title"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("start_date"), venue.alias("venue"), people.alias("organizer"), F.concat(F.lit("<b>"), "event_type", F.lit("</b> &amp; more")).alias("description"), F.concat(F.lit("https://e.example/"), F.col("event_id").cast("string")).alias("url"))
+    pages = table(spark, d, "events").select(F.to_json(F.struct(F.array(one).alias("events"))).alias("body"))
+    return registry.children(pages, TODAY).select("title", "date_start", "time_raw", "location", "organizer", "description", "event_url")
 
 
 @query()

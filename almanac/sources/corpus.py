@@ -70,10 +70,15 @@ def write_corpus(df: DataFrame, folder: str) -> DataFrame:
     return materialize(df.select("file", *fields).mapInArrow(run, "file string, changed boolean"), "written")
 
 
+def stale_files(there: DataFrame, written: DataFrame) -> DataFrame:
+    """The ``file`` names that are there and were not written; a null name is none."""
+    return there.select("file").filter("file is not null").join(written.select("file"), "file", "left_anti")
+
+
 def remove_stale(spark: SparkSession, folder: str, written: DataFrame) -> int:
     """Delete documents of the folder that this run has not written; returns how many."""
     there = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"))
-    stale = there.join(written.select("file"), "file", "left_anti")
+    stale = stale_files(there, written)
 
     def run(batches):
         fs, root = pafs.FileSystem.from_uri(folder)

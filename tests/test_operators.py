@@ -242,3 +242,29 @@ def test_featured(spark):
         landing.choose_featured(frame, [1, 2, 3], ["Büchig"])
     with pytest.raises(ValueError):
         landing.choose_featured(frame, [1, 2, 3, 9], ["Büchig"])
+
+
+def test_counts(spark):
+    from pyspark.sql import functions as F
+
+    from almanac.operators import counts
+
+    rows = spark.createDataFrame([(1, "x", "<b>a</b>  b"), (1, "y", None), (2, "x", "plain text that is long enough"), (2, None, "T&amp;T")], "k int, v string, description string")
+    got = counts.most_frequent_first(counts.by_group(rows, ["k"], {"n_x": F.col("v") == "x"}, ["v"]), "k").collect()
+    assert [tuple(r) for r in got] == [(1, 2, 1, "x,y"), (2, 2, 1, "x")]
+    one = counts.cleanup_counts(rows).first().asDict()
+    assert one == {"total": 4, "html_entities_decoded": 1, "html_tags_stripped": 1, "whitespace_normalized": 1, "empty_before": 1, "short_before": 2, "filled_from_sibling": 0, "scrap_garbage_removed": 0, "changed": 2, "unchanged": 2, "errors": 0}
+    empty = rows.limit(0)
+    assert counts.by_group(empty, [], {"n_x": F.col("v") == "x"}).collect()[0].n == 0 and counts.cleanup_counts(empty).first().total == 0
+
+
+def test_carry_tags_and_stale_files(spark):
+    from almanac.operators import dedup
+    from almanac.sources import corpus
+
+    cur = spark.createDataFrame([(1, []), (2, ["own"]), (3, None), (4, [])], "id long, tags array<string>")
+    raw = spark.createDataFrame([(10, ["b"]), (11, ["a", "z"]), (12, ["c"]), (13, [])], "ord long, tags array<string>")
+    links = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, 3)], "raw_id long, curated_id long")
+    assert {r.id: r.tags for r in dedup.carry_tags(cur, raw, links).collect()} == {1: ["a", "z"], 2: ["own"], 3: None, 4: []}
+    there = spark.createDataFrame([("a.json",), ("b.json",), (None,)], "file string")
+    assert [r.file for r in corpus.stale_files(there, there.limit(0)).orderBy("file").collect()] == ["a.json", "b.json"]
