@@ -23,7 +23,7 @@ PAD = " " * (ORDER - 1)
 #: Characters of text in one part of the documents: a part asks for its grams once.
 PART_CHARS = 8_000_000
 #: Distinct words that a worker holds for all languages together, and rows of joints before they are added up.
-WORDS_HELD, JOINTS_HELD = 400_000, 2_000_000
+WORDS_HELD, JOINTS_HELD = 250_000, 1_000_000
 POOLED = ""
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -307,15 +307,17 @@ class Scorer:
     """Scores the texts of one language; the sums of words are remembered."""
 
     def __init__(self, arrays: Arrays) -> None:
-        self.arrays, self.words, self.known = arrays, Words(), np.zeros((4, 0))
+        self.arrays = arrays
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.known = Words(), np.zeros((4, 0))
 
     def __call__(self, texts: list[list[bytes]], folds: np.ndarray, foreign: float) -> tuple[np.ndarray, np.ndarray]:
         """The log probability of each text and the number of its words with a letter or digit.
 
         A word's probability is that of its language's model, or with probability ``foreign`` that of all languages.
         """
-        if len(self.words) > WORDS_HELD:
-            self.words, self.known = Words(), np.zeros((4, 0))
         owner, at, joint = self.words.numbered(texts)
         have = self.known.shape[1]
         if len(self.words) > have:
@@ -337,5 +339,10 @@ class Scorers(dict):
     def __init__(self, models: dict[str, Arrays]) -> None:
         super().__init__({k: Scorer(v) for k, v in models.items()})
 
+    def bound(self) -> None:
+        """Forget the most words until no more than WORDS_HELD are held for all languages together."""
+        while sum(len(s.words) for s in self.values()) > WORDS_HELD + len(self):
+            max(self.values(), key=lambda s: len(s.words)).forget()
+
     def __missing__(self, lang: str) -> Scorer:
         return Scorer(Arrays([], np.zeros((4, 0))))

@@ -82,10 +82,11 @@ _SCORES = {"doc_id": pa.int64(), "lang": pa.string(), "n_words": pa.int64(), "wo
 _SCHEMA = ", ".join(f"{k} {({pa.int64(): 'long', pa.string(): 'string', pa.float64(): 'double'})[v]}" for k, v in _SCORES.items())
 
 
-def _measured(batch: pa.RecordBatch, scorers: dict) -> pa.RecordBatch:
+def _measured(batch: pa.RecordBatch, scorers: charmodel.Scorers) -> pa.RecordBatch:
     """Counts and log perplexity of ``doc_id, lang, text``."""
     ids, langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), [t or "" for t in batch.column(2).to_pylist()]
     rows = [None] * len(ids)
+    scorers.bound()
     for lang, at in charmodel.by_language(langs).items():
         split = [utf8(texts[i]).split() for i in at]
         total, lettered = scorers[lang](split, np.array([charmodel.fold_of(texts[i]) for i in at]), FOREIGN)
