@@ -19,7 +19,7 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ ROUNDS = 4
 SPLIT = 0.35
 THRESHOLD = 0.3
 
-#: Short neighbours, and rows of single characters with a sign after each perhaps.
-_NEAR = re.compile(r"(?<!\S)(?=(\S{1,4}\s{1,3}\S{1,4})(?!\S))")
+#: Letters of a short neighbour, and rows of single characters with a sign after each perhaps.
+NEAR = 4
 _SPACED = re.compile(r"(?<!\S)\S[^\w\s]?(?:\s{1,3}\S[^\w\s]?){2,}(?!\S)")
 _SENTENCE = re.compile(r"(?<=[^\s.!?]{2}[.!?])\s+")
 _EDGE = ".,;:!?\"'()[]{}<>#*$%&|-_+=~/\\…«»„“”‘’"
@@ -76,8 +76,11 @@ def words_of(sentence: str) -> list[str]:
     """What is scored of a sentence: its words, short neighbours with one blank between them, and rows of single characters read as one word."""
     words = sentence.split()
     if len(words) > 1:
-        words += [" ".join(m.split()) for m in _NEAR.findall(sentence)]
-        words += ["".join(m.group().split()) for m in _SPACED.finditer(sentence)]
+        sizes = [*map(len, words)]
+        near = [a + " " + b for a, b, x, y in zip(words, words[1:], sizes, sizes[1:]) if x <= NEAR >= y]
+        if sizes.count(1) + sizes.count(2) > 2:
+            words += ["".join(m.group().split()) for m in _SPACED.finditer(sentence)]
+        words += near
     return words
 
 
@@ -396,16 +399,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 class _Scorer:
     def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.known = model, {}
+        self.model, self.known, self.plain = model, {}, {}
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         split = [[w for w in map(words_of, sentences_of(t)) if w] if t else [] for t in texts]
         if len(self.known) > WORDS_HELD:
-            self.known = {}
-        new = list({w for doc in split for words in doc for w in words} - self.known.keys())
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            self.known.update(zip(part, self.model.margins(part).tolist()))
+            self.known, self.plain = {}, {}
+        # Words that differ in case or in signs at their ends have one margin.
+        new = {w: w.strip(_EDGE).lower() for w in set(chain.from_iterable(chain.from_iterable(split))) - self.known.keys()}
+        bare = list(set(new.values()) - self.plain.keys())
+        for at in range(0, len(bare), 100_000):
+            part = bare[at : at + 100_000]
+            self.plain.update(zip(part, self.model.margins(part).tolist()))
+        self.known.update((w, self.plain[x]) for w, x in new.items())
         get = self.known.__getitem__
         return self.model.probability(np.array([features(np.array([max(map(get, words)) for words in doc]), sum(map(len, doc))) for doc in split]).reshape(-1, 3))
 
