@@ -174,6 +174,19 @@ def equal_pairs(rows: DataFrame, block: Sequence[str], org: str, guard: str, nam
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(name).alias("pass")).distinct()
 
 
+def _candidates_by_word(rows: DataFrame, block: Sequence[str]) -> DataFrame:
+    """Candidates whose ``words`` may all be parts of the other's: the longest word is posted under one gram of its own.
+
+    Only where it is shorter than a gram it is looked up whole, among the shorter pieces of the blocks that have such a title.
+    """
+    rows = rows.withColumn("longest", F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"])
+    tiny = F.length("longest") < GRAM
+    some = _candidates(rows, block, F.when(~tiny, _one_gram(F.col("longest"))), F.array_distinct(F.flatten(F.transform("words", lambda w: _grams(w)))))
+    near = rows.join(rows.filter(tiny).select(*block).distinct(), [*block], "left_semi")
+    pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(*[_grams(w, k) for k in range(1, GRAM)]))))
+    return some.unionByName(_candidates(near, block, F.when(tiny, F.col("longest")), pieces)).drop("a_longest", "b_longest")
+
+
 def any_place_pairs(rows: DataFrame, guard: str = "contain") -> DataFrame:
     """Pass 2: same date, titles different, both over 6 letters without spaces; one holds the other and is at most twice as long, or every word of the short is part of a word of the long.
 
@@ -184,11 +197,8 @@ def any_place_pairs(rows: DataFrame, guard: str = "contain") -> DataFrame:
     long_ = groups.filter(F.length("tc") > 6).withColumn("words", F.filter(F.split("t", r"(?U)\s+"), lambda w: w != ""))
     a_may_be_long = F.length("a_t") >= F.length("b_t")
     whole = _candidates(long_, ["day"], _one_gram(F.col("tc")), _grams(F.col("tc"))).filter(F.contains("b_tc", F.col("a_tc")) & (a_may_be_long | (F.length("a_tc") >= F.length("b_tc") * 0.5)))
-    longest_word = F.element_at(F.array_sort(F.transform("words", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    probe = F.substring(longest_word, F.lit(1), F.least(F.length(longest_word), F.lit(3)))
-    pieces = F.array_distinct(F.flatten(F.transform("words", lambda w: F.concat(_grams(w, 3), _grams(w, 1), _grams(w, 2)))))
     words_inside = F.forall("a_words", lambda w: F.exists("b_words", lambda x: F.contains(x, w)))
-    by_word = _candidates(long_, ["day"], probe, pieces).filter((F.length("a_t") <= F.length("b_t")) & words_inside)
+    by_word = _candidates_by_word(long_, ["day"]).filter((F.length("a_t") <= F.length("b_t")) & words_inside)
     ok = compatible(F.col("a_org"), F.col("b_org"), guard) if guard == "contain" else compatible(F.col("a_org_plain"), F.col("b_org_plain"), "contain")
     matched = whole.unionByName(by_word).filter((F.col("a_t") != F.col("b_t")) & ok).select("a_id", "b_id").distinct()
     either = matched.unionByName(matched.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id")))
@@ -336,12 +346,30 @@ def fill_from_siblings(df: DataFrame, least: int = 20, id_col: str = "id") -> Da
 
 
 def look_up_descriptions(df: DataFrame, raw: DataFrame, id_col: str = "id") -> DataFrame:
-    """Descriptions of one to four characters replaced by the longest raw one of the date whose title holds this one's, in any case of letters; '' without one."""
+    """Descriptions of one to four characters replaced by the longest raw one of the date whose title holds this one's, in any case of letters; '' without one.
+
+    Titles of a date are compared once each, as groups, and meet by a piece of the poor row's title as in the fuzzy passes;
+    ties of length go to the greater text. A row without title or date finds nothing, an empty title is in every title.
+    """
     d = text.strip(text.empty(F.col("description")))
-    poor = df.filter(F.length(d).between(1, 4)).select(F.col(id_col).alias("__id"), F.lower("title").alias("__t"), F.col("date_start").alias("__day"))
-    rich = raw.filter(F.length("description") > 5).select(F.lower("title").alias("__rt"), F.col("date_start").alias("__rday"), F.col("description").alias("__d"))
-    found = poor.join(rich, (F.col("__day") == F.col("__rday")) & F.contains("__rt", F.col("__t"))).groupBy("__id").agg(F.max_by("__d", F.struct(F.length("__d"), "__d")).alias("__d"))
-    return df.join(found, F.col(id_col) == F.col("__id"), "left").withColumn("description", F.when(F.length(d).between(1, 4), F.coalesce("__d", F.lit(""))).otherwise(F.col("description"))).select(df.columns)
+    best = F.max_by("d", F.struct(F.length("d"), F.col("d"))).alias("d")
+    poor = df.filter(F.length(d).between(1, 4)).select(F.lower("title").alias("t"), F.col("date_start").alias("day")).distinct()
+    rich = raw.filter(F.length("description") > 5).select(F.lower("title").alias("rt"), F.col("date_start").alias("day"), F.col("description").alias("d")).filter("rt is not null").groupBy("day", "rt").agg(best)
+    n = F.length("t")
+    tiny = poor.filter(n.between(1, GRAM - 1))
+
+    def met(few: DataFrame, key: Column, rows: DataFrame, keys: Column) -> DataFrame:
+        return few.withColumn("g", key).join(rows.withColumn("g", F.explode(keys)), ["day", "g"]).filter(F.contains("rt", F.col("t"))).select("day", "t", "d")
+
+    pieces = F.array_distinct(F.concat(*[_grams(F.col("rt"), k) for k in range(1, GRAM)]))
+    found = (
+        met(poor.filter(n >= GRAM), _one_gram(F.col("t")), rich, _grams(F.col("rt")))
+        .unionByName(met(tiny, F.col("t"), rich.join(tiny.select("day").distinct(), "day", "left_semi"), pieces))
+        .unionByName(poor.filter(n == 0).join(rich.groupBy("day").agg(best), "day").select("day", "t", "d"))
+        .groupBy(F.col("day").alias("__day"), F.col("t").alias("__t")).agg(best.alias("__d"))
+    )
+    out = df.join(found, (F.col("date_start") == F.col("__day")) & (F.lower("title") == F.col("__t")), "left")
+    return out.withColumn("description", F.when(F.length(d).between(1, 4), F.coalesce("__d", F.lit(""))).otherwise(F.col("description"))).select(df.columns)
 
 
 def neighbours(df: DataFrame, key: Sequence[str], id_col: str, label: str) -> DataFrame:
