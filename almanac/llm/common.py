@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
 from almanac.storage import materialize, new_path, shared_dir, table
 
-__all__ = ["materialize", "new_path", "shared_dir", "slices", "split_words", "table", "utf8"]
+__all__ = ["materialize", "new_path", "numbered_alike", "shared_dir", "slices", "split_words", "table", "utf8"]
+
+#: Alike rows that are numbered at one place.
+ALIKE_ROWS = 4096
 
 
 def utf8(text: str | None) -> bytes:
@@ -22,3 +27,17 @@ def slices(batches, rows: int = 1000):
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+
+
+def numbered_alike(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``copy``: rows alike in all columns are numbered from 0, so that no two results are alike.
+
+    Alike rows are counted, map side first, and made again from their number; where there
+    are more than ALIKE_ROWS, in runs of that many, dealt to all tasks. An empty table gives no rows.
+    """
+    names = rows.columns
+    alike = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    few = alike.filter(F.col("__n") <= ALIKE_ROWS).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
+    runs = alike.filter(F.col("__n") > ALIKE_ROWS).select(*names, "__n", F.explode(F.expr(f"sequence(0L, __n - 1, {ALIKE_ROWS}L)")).alias("__from")).repartition(*names, "__from")
+    many = runs.select(*names, F.explode(F.expr(f"sequence(__from, least(__n, __from + {ALIKE_ROWS}) - 1)")).alias("copy"))
+    return few.unionByName(many)

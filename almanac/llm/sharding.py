@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import DataFrame, functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import materialize, numbered_alike
 
 #: Bits of the hash that can be used as a prefix.
 HASH_BITS = 52
@@ -23,8 +23,7 @@ EXTRA_BITS = 5
 
 def sized_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, copy, n_bytes, hash`` of each row. Rows alike in id and size are numbered by ``copy``, so each has a hash of its own."""
-    alike = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes")).groupBy("doc_id", "n_bytes").agg(F.count(F.lit(1)).alias("n"))
-    each = alike.select("doc_id", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
+    each = numbered_alike(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long").alias("n_bytes")))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("#"), F.col("n_bytes").cast("string"), F.lit(":"), F.col("copy").cast("string"))
     return each.withColumn("hash", F.conv(F.substring(F.md5(key), 1, HASH_BITS // 4), 16, 10).cast("long"))
 
