@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from almanac.llm.common import materialize
+from almanac.llm.common import materialize, numbered_alike
 
 #: Lengths up to this have bins of their own; longer ones share bins of a 1/256 of their power of two.
 EXACT_LENGTHS = 4096
@@ -82,11 +82,11 @@ def pack(docs: DataFrame, n_buckets: int, token_budget: int, id_col: str = "doc_
     a batch alone. ``batch_id`` is unique within its bucket, so (bucket_len, batch_id) names a batch.
     ``length`` defaults to the words of ``text``; null and empty texts have length 0
     and share the batches of boundary 0 or of the first bucket. Null ids and repeated rows are packed
-    like others; an empty table gives no rows; other columns are not read. Lanes of a
+    like others, and dealt to all lanes by their number among rows alike; equal lengths are taken in order of id; an empty table gives no rows; other columns are not read. Lanes of a
     bucket fill their own batches, so a lane's last batch may be part full.
     """
     length = n_words(F.col("text")) if length is None else length
-    rows = materialize(docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("n_tokens")), "pack-lengths")
+    rows = materialize(numbered_alike(docs.select(F.col(id_col).alias("doc_id"), length.cast("long").alias("n_tokens"))), "pack-lengths")
     bins = rows.groupBy(length_bin(F.col("n_tokens")).alias("bin")).agg(F.max("n_tokens").alias("longest"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("total")).orderBy("bin").collect()
     ends = best_boundaries([r.longest for r in bins], [r.n for r in bins], [r.total for r in bins], n_buckets)
     held = {e: 0 for e in ends}
@@ -97,14 +97,14 @@ def pack(docs: DataFrame, n_buckets: int, token_budget: int, id_col: str = "doc_
         held[ends[at]] += r.n
     boundaries = F.array(*[F.lit(e).cast("long") for e in ends]) if ends else F.array(F.lit(0).cast("long"))
     lane_counts = F.create_map(*[F.lit(x) for e in ends for x in (e, max(1, -(-held[e] // ROWS_PER_LANE)))]) if ends else F.create_map(F.lit(0), F.lit(1))
-    spread = F.xxhash64("doc_id", "n_tokens")
+    spread = F.xxhash64("doc_id", "n_tokens", "copy")
     placed = (
         rows.withColumn("bucket_len", F.element_at(F.filter(boundaries, lambda b: b >= F.col("n_tokens")), 1))
         .withColumn("capacity", F.greatest(F.lit(1), F.floor(F.lit(token_budget) / F.greatest(F.col("bucket_len"), F.lit(1)))).cast("long"))
         .withColumn("lanes", F.element_at(lane_counts, F.col("bucket_len").cast("int")).cast("long"))
         .withColumn("lane", F.pmod(spread, F.col("lanes")))
     )
-    w = Window.partitionBy("bucket_len", "lane").orderBy("n_tokens", "doc_id")
+    w = Window.partitionBy("bucket_len", "lane").orderBy("n_tokens", "doc_id", "copy")
     numbered = placed.withColumn("in_lane", F.floor((F.row_number().over(w) - 1) / F.col("capacity")).cast("long"))
     batch = Window.partitionBy("bucket_len", "lane", "in_lane")
     return numbered.select(

@@ -1,7 +1,7 @@
 import itertools
 import random
 
-from almanac.llm import packing, sharding
+from almanac.llm import common, packing, sharding
 from tests.llm.cases import DOCS, docs
 
 
@@ -72,3 +72,14 @@ def test_long_lengths_share_bins(spark):
     got = spark.range(1, 40_000_000, 9973).select("id", packing.length_bin(F.col("id")).alias("bin"))
     bad = got.filter((F.col("bin") > F.col("id")) | (F.col("id") - F.col("bin") > F.col("id") / 250)).count()
     assert bad == 0 and got.select("bin").distinct().count() < 5000
+
+
+def test_many_rows_alike(spark):
+    n = 3 * common.ALIKE_ROWS + 5
+    alike = spark.range(n).selectExpr("cast(null as bigint) AS doc_id", "'' AS text", "7 AS copy")
+    out = sharding.assign_shards(alike, 1_000_000).selectExpr("count(*) AS n", "count(distinct copy) AS copies", "max(copy) AS top").first()
+    assert (out.n, out.copies, out.top) == (n, n, n - 1)
+    words = spark.range(4 * packing.ROWS_PER_LANE).selectExpr("1L AS doc_id", "'a b c' AS text")
+    out = packing.pack(words, 2, 30).groupBy("batch_id").count().collect()
+    assert sum(r["count"] for r in out) == 4 * packing.ROWS_PER_LANE and max(r["count"] for r in out) == 10
+    assert {r.batch_id % 4 for r in out} == {0, 1, 2, 3}
