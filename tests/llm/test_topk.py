@@ -23,6 +23,7 @@ def answer(spark, rows, k=5, every=5):
 
 def test_edges(spark):
     rows = [(0, [1.0, 0.5]), (1, [0.3, None]), (2, None), (3, [float("nan"), 1.0]), (4, [0.1, 0.1]), (5, [0.1, 0.1]), (6, [0.1, 0.1]), (7, [1.0, 2.0, 3.0]), (10, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [float("inf"), 0.0]), (15, [0.0, 0.0]), (20, []), (21, []), (25, [5.0])]
+    assert answer(spark, [*rows, (30, [1e300, 1.0]), (35, [1.0, -1e17]), (36, [1e308, 2.0])]) == brute(rows, 5, 5)
     assert answer(spark, rows) == brute(rows, 5, 5)
     assert answer(spark, []) == []
     assert answer(spark, [(1, [1.0])]) == []
@@ -52,3 +53,20 @@ def test_pruned_search_is_exact():
             order = np.lexsort((ids, -scores[r]))[:5]
             want = [(int(q_ids[r]), int(i), int(scores[r, i])) for i in order if scores[r, i] >= floor[r]]
             assert [f for f in found if f[0] == q_ids[r]] == want
+
+
+def test_pairs_below_the_need_are_never_made(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 5)
+    made = []
+    search = topk._search
+    monkeypatch.setattr(topk, "_search", lambda pairs, k: made.append(pairs.count()) or search(pairs, k))
+    rows = [(i, [float(400 - i), 1.0 + i % 3]) for i in range(400)]
+    assert answer(spark, rows, every=20) == brute(rows, 5, 20)
+    assert made[1] < 0.2 * 4 * 19
+
+
+def test_one_id_in_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 20)
+    rows = [(i % 2 * (i + 1), [1.0, float(i % 5)]) for i in range(120)]
+    assert answer(spark, rows, every=7) == brute(rows, 5, 7)
