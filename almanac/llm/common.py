@@ -32,11 +32,11 @@ def slices(batches, rows: int = 1000):
 def numbered_alike(rows: DataFrame) -> DataFrame:
     """``rows`` with ``copy``: rows alike in all columns are numbered from 0, so that no two results are alike.
 
-    Alike rows are counted, map side first, and made again from their number; where there
+    Alike rows are counted, map side first, the counts written, so that ``rows`` is read once, and rows made again from them; where there
     are more than ALIKE_ROWS, in runs of that many, dealt to all tasks. An empty table gives no rows.
     """
     names = rows.columns
-    alike = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    alike = materialize(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("__n")), "alike")
     few = alike.filter(F.col("__n") <= ALIKE_ROWS).select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("copy"))
     runs = alike.filter(F.col("__n") > ALIKE_ROWS).select(*names, "__n", F.explode(F.expr(f"sequence(0L, __n - 1, {ALIKE_ROWS}L)")).alias("__from")).repartition(*names, "__from")
     many = runs.select(*names, F.explode(F.expr(f"sequence(__from, least(__n, __from + {ALIKE_ROWS}) - 1)")).alias("copy"))
