@@ -167,13 +167,16 @@ def without_year(c: Column) -> Column:
     return strip(F.regexp_replace(c, r"\s*\(?\b20\d{2}\b\)?\s*$", ""))
 
 
+def title_forms(c: Column) -> tuple[Column, Column]:
+    """A title in lower case, and that without digits, dots and repeated spaces."""
+    t = strip(F.lower(empty(c)))
+    return t, strip(F.regexp_replace(t, r"(?U)[\d.\s]+", " "))
+
+
 def title_similar(a: Column, b: Column) -> Column:
     """Equal but for digits, dots and spaces, or one contained in the other."""
-    def squeezed(c: Column) -> Column:
-        return strip(F.regexp_replace(c, r"(?U)[\d.\s]+", " "))
-
-    x, y = strip(F.lower(empty(a))), strip(F.lower(empty(b)))
-    return (squeezed(x) == squeezed(y)) | either_contains(x, y)
+    (x, x_bare), (y, y_bare) = title_forms(a), title_forms(b)
+    return (x_bare == y_bare) | either_contains(x, y)
 
 
 def description_steps(c: Column) -> dict[str, Column]:

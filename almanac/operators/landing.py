@@ -10,11 +10,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from almanac import dictionaries as D
 from almanac.functions import dates, text
 from almanac.operators.numbering import numbered
+from almanac.storage import materialize
 
 RAW_SCHEMA = "title string, date_start string, date_end string, time_raw string, location string, organizer string, description string, event_url string"
 RAW_KEY = ("source_url", "event_url", "date_start", "title")
 PUBLISHED = ("title", "date_start", "date_end", "time_raw", "location", "organizer", "description", "event_url", "sources", "tags", "recurring_group_id", "is_passed", "featured")
 
+#: Sizes of the pieces that titles meet by where one may hold another.
+PIECES = (1, 2, 4, 8, 16, 32)
+
 
 def blocked(title: Column, titles: Sequence[str] = D.BLOCKED_TITLES, prefixes: Sequence[str] = D.BLOCKED_PREFIXES, any_case: bool = False) -> Column:
     """Whether a title is on the block list or starts with a blocked prefix; ``any_case`` as LIKE compares."""
@@ -171,11 +175,52 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _pieces(c: Column, size: Column) -> Column:
+    """Hashes of the pieces of ``size`` letters of a text that has so many; '' is its one piece of size 0."""
+    at = F.when(size == 0, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.length(c) - size + 1))
+    return F.transform(at, lambda i: F.xxhash64(F.substring(c, i, size)))
+
+
+def _some_pair(few: DataFrame, many: DataFrame, kept: str) -> DataFrame:
+    """Rows of the ``kept`` side, ``few`` or ``many``, of which some title of ``few`` is part of a longer one of ``many``, on one date.
+
+    A title of ``few`` is posted under one piece, of the largest size of ``PIECES`` that it has; one of ``many`` under all pieces
+    of the sizes that its date needs. The titles are compared in a semi-join, so no pair becomes a row.
+    """
+    n = F.length("t")
+    size = F.greatest(*[F.when(n >= k, F.lit(k)).otherwise(F.lit(0)) for k in PIECES])
+    longest = many.groupBy("date").agg(F.max(n).alias("longest"))
+    short = few.join(F.broadcast(longest), "date").filter(n < F.col("longest")).withColumn("size", size).select("date", "t", "size")
+    sizes = short.groupBy("date").agg(F.collect_set("size").alias("sizes"))
+    # The piece of smallest hash: common pieces are chosen no more than others.
+    short = short.select("date", F.array_min(_pieces(F.col("t"), F.col("size"))).alias("piece"), "t")
+    pieces = F.flatten(F.transform(F.filter("sizes", lambda k: k <= n), lambda k: _pieces(F.col("t"), k)))
+    long_ = many.join(F.broadcast(sizes), "date").select("date", F.explode(F.array_distinct(pieces)).alias("piece"), "t")
+    left, right = (short, long_) if kept == "few" else (long_, short)
+    right = right.withColumnsRenamed({"date": "__date", "piece": "__piece", "t": "__t"})
+    inside = F.contains("__t", F.col("t")) if kept == "few" else F.contains(F.col("t"), F.col("__t"))
+    return left.join(right, (F.col("date") == F.col("__date")) & (F.col("piece") == F.col("__piece")) & inside, "left_semi").select("date", "t")
+
+
 def fill_defaults(events: DataFrame, defaults: DataFrame, date: str = "date_start", title: str = "title") -> DataFrame:
-    """The default rows that no event of their date resembles, added to the events. Defaults are a short list of the program's."""
-    there = events.select(F.col(date).alias("__date"), F.col(title).alias("__title")).distinct()
-    same = (F.col(date) == F.col("__date")) & text.title_similar(F.col(title), F.col("__title"))
-    return events.unionByName(defaults.join(there, same, "left_anti"), allowMissingColumns=True)
+    """The default rows that no event of their date resembles, as ``text.title_similar`` says, added to the events.
+
+    Titles of a date are compared once each, by their forms: equal ones meet by a join, contained ones by a piece
+    of the shorter, so either table may be long.
+    """
+    def titles(df: DataFrame, name: str) -> DataFrame:
+        plain, bare = text.title_forms(F.col(title))
+        return materialize(df.filter(F.col(date).isNotNull()).select(F.col(date).alias("date"), plain.alias("t"), bare.alias("s")).distinct(), name)
+
+    there, wanted = titles(events, "events"), titles(defaults, "defaults")
+    covered = (
+        wanted.join(there, ["date", "s"], "left_semi").select("date", "t")
+        .unionByName(_some_pair(wanted, there, "few"))
+        .unionByName(_some_pair(there, wanted, "many"))
+        .distinct().select(F.col("date").alias("__date"), F.col("t").alias("__t"))
+    )
+    kept = defaults.join(covered, (F.col(date) == F.col("__date")) & (text.title_forms(F.col(title))[0] == F.col("__t")), "left_anti")
+    return events.unionByName(kept, allowMissingColumns=True)
 
 
 def numbered_batches(df: DataFrame, order: Sequence[str], size: int = 500) -> DataFrame:

@@ -268,3 +268,21 @@ def test_carry_tags_and_stale_files(spark):
     assert {r.id: r.tags for r in dedup.carry_tags(cur, raw, links).collect()} == {1: ["a", "z"], 2: ["own"], 3: None, 4: []}
     there = spark.createDataFrame([("a.json",), ("b.json",), (None,)], "file string")
     assert [r.file for r in corpus.stale_files(there, there.limit(0)).orderBy("file").collect()] == ["a.json", "b.json"]
+
+
+def test_defaults_meet_by_pieces_not_by_date(spark):
+    rng = random.Random(3)
+    words = ["fest", "am", "see", "2.", "sommer", " ", "ß", "", "10", "a", "Großer ", "flohmarkt der vereine ", "\u00a0", "konzert"]
+    title = lambda: rng.choice([None, "", "A", *["".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(40)]])
+    rows = [(i, rng.choice(["2026-07-01", "2026-07-02", "2026-07-03", None, ""]), title()) for i in range(300)]
+    rows += [(1000, "2026-08-01", ""), (1001, "2026-08-01", "alles"), (1002, "2026-08-02", "alles"), (1003, "2026-08-02", " "), (1004, "2026-08-03", "Fest 1."), (1005, "2026-08-03", "2. fest"), (1006, "2026-08-03", None)]
+    df = spark.createDataFrame(rows, "ord long, date_start string, title string")
+    events, defaults = df.filter("ord % 2 = 0"), df.filter("ord % 2 = 1")
+    out = landing.fill_defaults(events, defaults)
+    e, d = events.select(F.col("date_start").alias("ed"), F.col("title").alias("et")), defaults
+    pairs = d.join(e, (F.col("ed") == F.col("date_start")) & landing.text.title_similar(F.col("title"), F.col("et")), "left_anti")
+    want = sorted([r.ord for r in events.collect()] + [r.ord for r in pairs.collect()])
+    assert sorted(r.ord for r in out.collect()) == want and 154 < len(want) < len(rows)
+    # Titles are compared only where a piece of them is the same as well.
+    compared = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "Contains(" in line]
+    assert compared and all("piece" in line for line in compared)
