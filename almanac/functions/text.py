@@ -98,18 +98,20 @@ def organizer_without_form(c: Column) -> Column:
     return strip(F.regexp_replace(o, r"(?U)\s+", " "))
 
 
-def slugify(c: Column, most: int = 60) -> Column:
+def slugify(c: Column, most: int | None = 60) -> Column:
+    """Title as part of a name, of ``most`` letters; whole if that is None."""
     s = F.lower(strip(empty(c)))
     for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("ß", "ss")):
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(s, r"[^a-z0-9\s-]", "")
     s = F.regexp_replace(F.regexp_replace(s, r"[\s-]+", "-"), r"^-+|-+$", "")
-    s = F.regexp_replace(F.substring(s, 1, most), r"-+$", "")
+    if most is not None:
+        s = F.regexp_replace(F.substring(s, 1, most), r"-+$", "")
     return F.when(s == "", F.lit("event")).otherwise(s)
 
 
-def file_name(date: Column, title: Column) -> Column:
-    return F.concat(F.when(empty(date) == "", F.lit("unknown")).otherwise(date), F.lit("_"), slugify(title), F.lit(".json"))
+def file_name(date: Column, title: Column, most: int | None = 60) -> Column:
+    return F.concat(F.when(empty(date) == "", F.lit("unknown")).otherwise(date), F.lit("_"), slugify(title, most), F.lit(".json"))
 
 
 def strip_html(c: Column, gap: str = " ") -> Column:

@@ -29,13 +29,14 @@ def by_source(corpus: DataFrame) -> DataFrame:
     return corpus.select("*", F.explode("sources").alias("source_url"))
 
 
-def named(df: DataFrame, mode: str = "suffix") -> DataFrame:
+def named(df: DataFrame, mode: str = "suffix", most: int | None = 60) -> DataFrame:
     """Adds ``file``. ``suffix``: names that repeat get _1, _2... in order of date, title and id; ``overwrite``: the last of them stays.
+    Slugs are cut to ``most`` letters, as those of the published files are; None leaves them whole.
 
     Slugs hold no underscore, so a suffixed name is never another's name. Rows are numbered
     over all names and the number of a name's first row is taken off, so a name may have any number of rows.
     """
-    placed = numbered(df.withColumn("__base", text.file_name(F.col("date_start"), F.col("title"))), ["__base", "date_start", "title", "id"], "__at")
+    placed = numbered(df.withColumn("__base", text.file_name(F.col("date_start"), F.col("title"), most)), ["__base", "date_start", "title", "id"], "__at")
     ends = placed.groupBy("__base").agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"))
     out = placed.join(ends, "__base")
     if mode == "overwrite":

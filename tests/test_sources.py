@@ -116,3 +116,25 @@ def test_every_query_runs_and_matches_sql(spark):
         got = plain(tuple(r) for r in frame.select(cols).collect())
         if name in SQL:
             assert got == plain(con.execute(f"SELECT {', '.join(cols)} FROM ({SQL[name]})").fetchall()), name
+
+
+def differs_from_sql(spark, tmp_path, name, texts):
+    """Rows of a query over documents of these texts, and of its SQL, that the other lacks."""
+    import duckdb
+
+    from almanac.queries import QUERIES, SQL
+
+    rows = [(i, t, "de", "src1", 0) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    frame = QUERIES[name](spark, str(tmp_path))
+    got, want = {tuple(r) for r in frame.collect()}, set(con.execute(f"SELECT {', '.join(frame.columns)} FROM ({SQL[name]})").fetchall())
+    return got - want, want - got
+
+
+def test_file_names_are_whole_where_umlauts_are_written_out(spark, tmp_path):
+    assert differs_from_sql(spark, tmp_path, "k04_file_names", ["üä " * 13 + "ü\nmehr", "ä" * 40, "ä" * 39 + "ö", "Fest", "!", None]) == (set(), set())
+    events = spark.createDataFrame([(1, "ä" * 40, "2026-07-10"), (2, "ä" * 31, "2026-07-10")], "id long, title string, date_start string")
+    assert {r.file for r in corpus.named(events).collect()} == {f"2026-07-10_{'ae' * 30}.json", f"2026-07-10_{'ae' * 30}_1.json"}
+    assert {r.file for r in corpus.named(events, most=None).collect()} == {f"2026-07-10_{'ae' * 40}.json", f"2026-07-10_{'ae' * 31}.json"}
