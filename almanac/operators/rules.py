@@ -43,6 +43,9 @@ TIME_PATTERNS = [r"(?iu)(\d{1,2}[:.]\d{2})\s*Uhr", r"(?iu)Beginn[:\s]*(\d{1,2}[:
 MEETING_POINTS = [r"(?iu)Treffpunkt[:\s]*(?:\d{1,2}[:.]\d{2}\s*Uhr\s*[,.]?\s*)?(.+?)(?:Rückkehr|Gebühr|\.\s|$)", r"(?iu)Treffpunkt[:\s]+(.+?)[.\n]"]
 # End of the fixed values.
 
+#: What may not follow a time at a pattern's end: more digits make it a part of an address, a date or a longer number.
+NO_MORE_DIGITS = r"(?!\.?\d)"
+
 
 def rule(f: Rule):
     RULES[f.__name__] = f
@@ -79,7 +82,8 @@ def fix_empty_location(row):
 
 @rule
 def fix_time_in_description(row):
-    found = F.coalesce(*[F.when(row("description").rlike(p), F.regexp_extract(row("description"), p, 1)) for p in TIME_PATTERNS])
+    patterns = [p + NO_MORE_DIGITS if p.endswith(")") else p for p in TIME_PATTERNS]
+    found = F.coalesce(*[F.when(row("description").rlike(p), F.regexp_extract(row("description"), p, 1)) for p in patterns])
     return _blank(row, "time_raw") & found.isNotNull(), {"time_raw": F.replace(found, F.lit("."), F.lit(":"))}
 
 

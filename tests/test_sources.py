@@ -138,3 +138,13 @@ def test_file_names_are_whole_where_umlauts_are_written_out(spark, tmp_path):
     events = spark.createDataFrame([(1, "ä" * 40, "2026-07-10"), (2, "ä" * 31, "2026-07-10")], "id long, title string, date_start string")
     assert {r.file for r in corpus.named(events).collect()} == {f"2026-07-10_{'ae' * 30}.json", f"2026-07-10_{'ae' * 30}_1.json"}
     assert {r.file for r in corpus.named(events, most=None).collect()} == {f"2026-07-10_{'ae' * 40}.json", f"2026-07-10_{'ae' * 31}.json"}
+
+
+def test_parts_of_addresses_and_dates_are_no_times(spark, tmp_path):
+    from almanac.operators import rules
+
+    texts = ["", "der von 23.83.99.226 er", "die von 69.214.7.8 und von 12.05.2026", "10.30 - 12:00 im Haus", "von 1.2.3.4 her, 9:15-10:00", "Beginn: 18.30.7"]
+    assert differs_from_sql(spark, tmp_path, "q02_time_rule", texts) == (set(), set())
+    told = {"von 10.20.30.40, von 18.30 bis 20": "18:30", "Beginn: 9:15.": "9:15", "19.30 Uhr": "19:30", "von 14:00 bis 17:00 Uhr": "17:00", "von 12.05.2026": "", "von 8.15": "8:15", "10:00 - 12:00": "10:00", "Beginn 7.30-8.30": "7:30"}
+    frame = spark.createDataFrame([(k, "") for k in told], "description string, time_raw string").withColumn("tags", F.array().cast("array<string>"))
+    assert {r.description: r.time_raw for r in rules.apply_rules(frame, ["fix_time_in_description"]).collect()} == told
