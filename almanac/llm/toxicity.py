@@ -19,7 +19,7 @@ import sys
 import unicodedata
 from collections import Counter, defaultdict
 from dataclasses import dataclass
-from itertools import chain, combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -98,24 +98,29 @@ def _coded(words: list[str]) -> np.ndarray:
     return np.hstack([np.full((len(words), 1), BEGIN), body, np.full((len(words), 1), STOP)]).astype(np.int32)
 
 
+def _before(match: np.ndarray) -> np.ndarray:
+    """For each pair of places the decayed sum of the matches before both."""
+    rows, out = np.zeros_like(match), np.zeros_like(match)
+    for a in range(1, len(match)):
+        np.multiply(rows[a - 1] + match[a - 1], np.float32(DECAY), out=rows[a])
+    for b in range(1, len(match)):
+        np.multiply(out[:, b - 1] + rows[:, b - 1], np.float32(DECAY), out=out[:, b])
+    return out
+
+
 def norms(coded: np.ndarray) -> np.ndarray:
-    """Square root of the kernel of each word with itself, by the recursion over prefixes."""
-    n, size = coded.shape
-    match = [[(coded[:, a] == coded[:, b]) & (coded[:, a] > 0) for b in range(size)] for a in range(size)]
-    under = np.ones((size + 1, size + 1, n), np.float32)
-    for _ in range(LENGTH - 1):
-        over = np.zeros_like(under)
-        for a in range(1, size + 1):
-            run = np.zeros(n, np.float32)
-            for b in range(1, size + 1):
-                run = DECAY * run + (DECAY * DECAY) * match[a - 1][b - 1] * under[a - 1, b - 1]
-                over[a, b] = DECAY * over[a - 1, b] + run
-        under = over
-    total = np.zeros(n, np.float32)
-    for a in range(size):
-        for b in range(size):
-            total += DECAY * DECAY * match[a][b] * under[a, b]
-    return np.sqrt(total)
+    """Square root of the kernel of each word with itself: over equal middle letters, the matches before them times those after them.
+
+    No sum runs over words, so that a word's norm does not depend on those beside it.
+    """
+    letters = np.ascontiguousarray(coded.T)
+    match = ((letters[:, None] == letters) & (letters > 0)).astype(np.float32)
+    inner = match * _before(match)
+    inner *= _before(match[::-1, ::-1])[::-1, ::-1]
+    total = np.zeros(len(coded), np.float32)
+    for row in inner.reshape(-1, len(coded)):
+        total += row
+    return np.sqrt(np.float32(DECAY * DECAY) * total)
 
 
 def _triples(coded: np.ndarray):
@@ -125,6 +130,20 @@ def _triples(coded: np.ndarray):
         yield DECAY ** (k - i + 1), np.where((a > 0) & (b > 0) & (c > 0), (a * LETTERS + b) * LETTERS + c, 0)
 
 
+def _sums(coded: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum over the triples of each word of one weight for each triple; those of equal span are added up before they decay."""
+    letters = np.ascontiguousarray(coded.T, np.intp)
+    first, middle = letters * LETTERS**2, letters * LETTERS
+    total = np.zeros(len(coded), np.float32)
+    for span in range(LENGTH - 1, len(letters)):
+        alike = np.zeros(len(coded), np.float32)
+        for i in range(len(letters) - span):
+            for row in weights.take(middle[i + 1 : i + span] + (first[i] + letters[i + span])):
+                alike += row
+        total += np.float32(DECAY ** (span + 1)) * alike
+    return total
+
+
 def _by_length(words: list[str], most: int = 20_000):
     groups = defaultdict(list)
     for i, w in enumerate(words):
@@ -138,11 +157,18 @@ def _by_length(words: list[str], most: int = 20_000):
 def project(words: list[str], weights: np.ndarray) -> np.ndarray:
     """Inner products of the normalized words with columns of triple weights (``LETTERS ** 3`` rows)."""
     out = np.zeros((len(words), *weights.shape[1:]), np.float32)
-    for at in _by_length(words, 20_000 if weights.ndim == 1 else 2_000):
+    if weights.ndim == 1:  # triples with anything else than letters weigh nothing
+        weights = weights.reshape(LETTERS, LETTERS, LETTERS).copy()
+        weights[0] = weights[:, 0] = weights[:, :, 0] = 0
+        weights = weights.reshape(-1)
+    for at in _by_length(words, 2_000):
         coded = _coded([words[i] for i in at])
-        total = np.zeros((len(at), *weights.shape[1:]), np.float32)
-        for weight, code in _triples(coded):
-            total += weight * weights[code]
+        if weights.ndim == 1:
+            total = _sums(coded, weights)
+        else:
+            total = np.zeros((len(at), *weights.shape[1:]), np.float32)
+            for weight, code in _triples(coded):
+                total += weight * weights[code]
         size = norms(coded)
         out[at] = total / np.where(size > 0, size, 1).reshape(-1, *[1] * (weights.ndim - 1))
     return out
@@ -210,13 +236,16 @@ class ToxicityModel:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Margin of each word: of its worst window if it is long."""
-        parts, owner = [], []
-        for i, w in enumerate(words):
-            for p in _windows(w):
-                parts.append(p)
-                owner.append(i)
-        out = np.full(len(words), -np.inf, np.float32)
-        np.maximum.at(out, owner, project(parts, self.weights) + self.bias - np.float32(SPLIT) * np.array([" " in p for p in parts]))
+        parts = [w.strip(_EDGE) for w in words]
+        long = [i for i, p in enumerate(parts) if len(p) > WINDOW]
+        owner = [*range(len(parts))]
+        for i in long:
+            parts[i], *more = _windows(parts[i])
+            parts += more
+            owner += [i] * len(more)
+        got = project(parts, self.weights) + self.bias - np.float32(SPLIT) * np.array([" " in p for p in parts])
+        out = got[: len(words)].copy()
+        np.maximum.at(out, owner[len(words) :], got[len(words) :])
         return out
 
     def probability(self, facts: np.ndarray) -> np.ndarray:
@@ -397,23 +426,88 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r.text for r in found], [label_of[r.doc_id] for r in found])
 
 
+class _Words(dict):
+    """Numbers of words, in the order in which they came."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _ends(word: str) -> bool:
+    """Whether a sentence ends after the word, as ``sentences_of`` cuts."""
+    return word[-1] in ".!?" and len(word) > 2 and word[-2] not in ".!?" and word[-3] not in ".!?"
+
+
+def _single(word: str) -> bool:
+    """Whether the word may be in a row of single characters, as _SPACED has them."""
+    return len(word) == 1 or len(word) == 2 and not (word[1].isalnum() or word[1] == "_")
+
+
 class _Scorer:
+    """Scores texts by what ``sentences_of`` and ``words_of`` make of them, over the numbers of all words of a batch at once."""
+
     def __init__(self, model: ToxicityModel) -> None:
-        self.model, self.known, self.plain = model, {}, {}
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.words, self.pairs, self.plain = _Words(), {}, {}
+        self.margin, self.size, self.ends, self.single = np.empty(0), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
+
+    def margins(self, words: list[str]) -> list[float]:
+        """Words that differ in case or in signs at their ends have one margin."""
+        bare = [w.strip(_EDGE).lower() for w in words]
+        new = list(dict.fromkeys(w for w in bare if w not in self.plain))
+        for at in range(0, len(new), 100_000):
+            part = new[at : at + 100_000]
+            self.plain.update(zip(part, self.model.margins(part).tolist()))
+        return [*map(self.plain.__getitem__, bare)]
+
+    def _learn(self) -> None:
+        new = [*islice(self.words, len(self.margin), None)]
+        self.margin = np.concatenate([self.margin, self.margins(new)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, new), np.int64, len(new))])
+        self.ends = np.concatenate([self.ends, np.fromiter(map(_ends, new), bool, len(new))])
+        self.single = np.concatenate([self.single, np.fromiter(map(_single, new), bool, len(new))])
+
+    def _beside(self, codes: np.ndarray) -> np.ndarray:
+        """Margins of pairs of neighbours, from the numbers of both in one."""
+        codes, back = np.unique(codes, return_inverse=True)
+        new = [c for c in codes.tolist() if c not in self.pairs]
+        if new:
+            word = [*self.words]
+            self.pairs.update(zip(new, self.margins([word[c >> 32] + " " + word[c & 0xFFFFFFFF] for c in new])))
+        return np.array([*map(self.pairs.__getitem__, codes.tolist())])[back]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
-        split = [[w for w in map(words_of, sentences_of(t)) if w] if t else [] for t in texts]
-        if len(self.known) > WORDS_HELD:
-            self.known, self.plain = {}, {}
-        # Words that differ in case or in signs at their ends have one margin.
-        new = {w: w.strip(_EDGE).lower() for w in set(chain.from_iterable(chain.from_iterable(split))) - self.known.keys()}
-        bare = list(set(new.values()) - self.plain.keys())
-        for at in range(0, len(bare), 100_000):
-            part = bare[at : at + 100_000]
-            self.plain.update(zip(part, self.model.margins(part).tolist()))
-        self.known.update((w, self.plain[x]) for w, x in new.items())
-        get = self.known.__getitem__
-        return self.model.probability(np.array([features(np.array([max(map(get, words)) for words in doc]), sum(map(len, doc))) for doc in split]).reshape(-1, 3))
+        if len(self.words) + len(self.pairs) > WORDS_HELD:
+            self.forget()
+        number, found = self.words.__getitem__, []
+        for t in texts:
+            words = t.split() if t else []
+            found.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self._learn()
+        at, sizes = np.concatenate([np.empty(0, np.int64), *found]), np.array([*map(len, found)], np.int64)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        last = self.ends[at]
+        last[np.cumsum(sizes)[sizes > 0] - 1] = True
+        begin = np.flatnonzero(np.concatenate([[True], last[:-1]])[: len(at)])
+        sentence = np.cumsum(last) - last
+        worst = np.maximum.reduceat(self.margin[at], begin) if len(at) else np.empty(0)
+        bounds = np.searchsorted(doc[begin], np.arange(len(texts) + 1))
+        short = self.size[at] <= NEAR
+        near = np.flatnonzero(short[:-1] & short[1:] & ~last[:-1])
+        if len(near):
+            np.maximum.at(worst, sentence[near], self._beside((at[near] << 32) + at[near + 1]))
+            sizes = sizes + np.bincount(doc[near], minlength=len(texts))
+        single = self.single[at]
+        for d in np.unique(doc[:-2][single[:-2] & single[1:-1] & single[2:] & (doc[:-2] == doc[2:])]).tolist():
+            cut = [x for x in sentences_of(texts[d]) if x and not x.isspace()]
+            rows = [(bounds[d] + i, "".join(m.group().split())) for i, x in enumerate(cut) for m in _SPACED.finditer(x)]
+            np.maximum.at(worst, np.array([i for i, _ in rows], np.int64), self.margins([w for _, w in rows]))
+            sizes[d] += len(rows)
+        return self.model.probability(np.array([features(worst[a:b], n) for a, b, n in zip(bounds.tolist(), bounds[1:].tolist(), sizes.tolist())]).reshape(-1, 3))
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (4, 2)) -> DataFrame:
