@@ -452,17 +452,15 @@ class _Scorer:
         self.forget()
 
     def forget(self) -> None:
-        self.words, self.pairs, self.plain = _Words(), {}, {}
+        self.words, self.pairs, self.beside = _Words(), np.empty(0, np.int64), np.empty(0)
         self.margin, self.size, self.ends, self.single = np.empty(0), np.empty(0, np.int64), np.empty(0, bool), np.empty(0, bool)
 
-    def margins(self, words: list[str]) -> list[float]:
-        """Words that differ in case or in signs at their ends have one margin."""
-        bare = [w.strip(_EDGE).lower() for w in words]
-        new = list(dict.fromkeys(w for w in bare if w not in self.plain))
-        for at in range(0, len(new), 100_000):
-            part = new[at : at + 100_000]
-            self.plain.update(zip(part, self.model.margins(part).tolist()))
-        return [*map(self.plain.__getitem__, bare)]
+    def margins(self, words: list[str]) -> np.ndarray:
+        """Words that differ in case or in signs at their ends are scored once."""
+        plain = _Words()
+        at = [plain[w.strip(_EDGE).lower()] for w in words]
+        bare = [*plain]
+        return np.concatenate([np.empty(0), *(self.model.margins(bare[i : i + 20_000]) for i in range(0, len(bare), 20_000))])[at] if at else np.empty(0)
 
     def _learn(self) -> None:
         new = [*islice(self.words, len(self.margin), None)]
@@ -474,11 +472,13 @@ class _Scorer:
     def _beside(self, codes: np.ndarray) -> np.ndarray:
         """Margins of pairs of neighbours, from the numbers of both in one."""
         codes, back = np.unique(codes, return_inverse=True)
-        new = [c for c in codes.tolist() if c not in self.pairs]
-        if new:
+        new = codes[~np.isin(codes, self.pairs, assume_unique=True)]
+        if len(new):
             word = [*self.words]
-            self.pairs.update(zip(new, self.margins([word[c >> 32] + " " + word[c & 0xFFFFFFFF] for c in new])))
-        return np.array([*map(self.pairs.__getitem__, codes.tolist())])[back]
+            got = self.margins([word[c >> 32] + " " + word[c & 0xFFFFFFFF] for c in new.tolist()])
+            self.pairs, order = np.unique(np.concatenate([self.pairs, new]), return_index=True)
+            self.beside = np.concatenate([self.beside, got])[order]
+        return self.beside[np.searchsorted(self.pairs, codes)][back]
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if len(self.words) + len(self.pairs) > WORDS_HELD:
